@@ -27,7 +27,7 @@ from .common import id_and_text, map_slices, raw_texts
 from .pieces import SPECIAL, WordMemory, plain_pieces, special_parts
 
 END = "</w>"
-WORDS_KEPT, PIECES_KEPT, ARCS_KEPT = 150_000, 250_000, 1_000_000
+WORDS_KEPT, PIECES_KEPT, ARCS_KEPT = 200_000, 200_000, 500_000
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -65,7 +65,10 @@ class TokenAutomaton:
                 raise ValueError("too many merges")
         self.known.clear()
         self.at = at
-        self.longest = max(len(n.removesuffix(END)) for n in names)
+        self.reach: dict[str, int] = {}  # the longest label that starts with these three characters
+        for n in names:
+            n = n.removesuffix(END)
+            self.reach[n[:3]] = max(self.reach.get(n[:3], 0), len(n))
         self.label = {i: n for n, i in vocab.items()}
 
     def arc(self, state: int, token: int) -> bool:
@@ -94,32 +97,31 @@ class TokenAutomaton:
 
     def encode(self, piece: str) -> list[int]:
         """Ids of one piece; its characters are byte symbols."""
-        n, at, step = len(piece), self.at, self.step
+        n, at, step, reach = len(piece), self.at, self.step, self.reach
         if not n:
             return []
-        path, states, ends, dead = [], [-1], [0], set()
-        j = min(n, self.longest)
+        path, ends, dead = [], [0], set()
+        i, state, j = 0, -1, min(n, reach.get(piece[:3], 2))
         while True:
-            i = ends[-1]
             while j > i:
                 token = at.get(piece[i:j] + END if j == n else piece[i:j])
-                if token is not None and j not in dead and step(states[-1], token):
+                if token is not None and j not in dead and step(state, token):
                     break
                 j -= 1
             else:  # no arc leads on from here; the position has one state only, so it is never entered again
                 if not path:
                     raise ValueError(f"no path spells {piece!r}")
-                dead.add(ends.pop())
-                states.pop()
-                j = i - 1
+                j = ends.pop()
+                dead.add(j)
+                j -= 1
                 path.pop()
+                i, state = ends[-1], path[-1] if path else -1
                 continue
             path.append(token)
-            states.append(token)
-            ends.append(j)
             if j == n:
                 return [self.ids[t] for t in path]
-            j = min(n, j + self.longest)
+            ends.append(j)
+            i, state, j = j, token, min(n, j + reach.get(piece[j : j + 3], 2))
 
 
 class WordCoder:
@@ -140,38 +142,41 @@ class WordCoder:
         self.pieces = WordMemory(self._piece, PIECES_KEPT)
         self.words = WordMemory(self._word, WORDS_KEPT)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(self.automaton.encode(piece))
+    def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
+        return self._coded(self.automaton.encode(piece))
+
+    def _coded(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        """Number of ids, the ids and their labels; each is led in by a blank."""
+        return len(ids), "".join([f" {i}" for i in ids]).encode(), f" {self.decode(ids)}".encode() if ids else b""
 
     def _symbols(self, text: str) -> str:
-        return text if text.isascii() else "".join(self.symbols[b] for b in text.encode())
+        return text if text.isascii() else "".join([self.symbols[b] for b in text.encode()])
+
+    def decode(self, ids: list[int]) -> str:
+        label = self.automaton.label
+        return " ".join([label[i] for i in ids])
 
-    def ids(self, word: str) -> list[int]:
-        out: list[int] = []
+    def _parts(self, word: str) -> list[tuple[int, bytes, bytes]]:
+        out = []
         for part in special_parts(word) if "<|" in word else (word,):
             if part in SPECIAL:
-                out.append(SPECIAL[part])
+                out.append(self._coded([SPECIAL[part]]))
             elif (plain := plain_pieces(part)) is not None:
-                for p in plain:
-                    out += self.pieces[self._symbols(p)]
+                out += [self.pieces[self._symbols(p)] for p in plain]
             else:
-                for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(part)):
-                    out += self.pieces[p]
+                out += [self.pieces[p] for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(part))]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        label = self.automaton.label
-        return " ".join(label[i] for i in ids)
-
-    def _word(self, word: bytes) -> tuple[bytes, bytes, int]:
-        ids = self.ids(word.decode())
-        if not ids:
-            return b"", b"", 0
-        return f" {' '.join(map(str, ids))}".encode(), f" {self.decode(ids)}".encode(), len(ids)
+    def _word(self, word: bytes) -> tuple[int, bytes, bytes]:
+        parts = self._parts(word.decode())
+        if len(parts) == 1:
+            return parts[0]
+        return sum(p[0] for p in parts), b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
     def text(self, raw: bytes) -> tuple[int, bytes, bytes]:
-        found = [self.words[w] for w in raw.split()]
-        return sum(f[2] for f in found), b"".join([f[0] for f in found])[1:], b"".join([f[1] for f in found])[1:]
+        words = self.words
+        found = [words[w] for w in raw.split()]
+        return sum([f[0] for f in found]), b"".join([f[1] for f in found])[1:], b"".join([f[2] for f in found])[1:]
 
 
 _coders: dict[str, WordCoder] = {}

@@ -37,14 +37,18 @@ def special_parts(word: str) -> list[str]:
 
 
 class WordMemory(dict):
-    """Remembers ``find(word)`` for words; starts anew when full, so memory is bounded and results are the same."""
+    """Remembers ``find(word)`` for words in two generations of ``most`` each, so memory is bounded and results are the same."""
 
-    def __init__(self, find: Callable[[bytes], object], most: int):
+    def __init__(self, find: Callable, most: int):
         super().__init__()
-        self.find, self.most = find, most
+        self.find, self.most, self.older = find, most, {}
 
-    def __missing__(self, word: bytes):
+    def __missing__(self, word):
+        value = self.older.get(word)
+        if value is None:
+            value = self.find(word)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = self.find(word)
+        self[word] = value
         return value
