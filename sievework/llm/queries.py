@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import bpe_encode_decode
 from .common import documents
+from .pii import find_pii
 
 
 def vocabulary() -> str:
@@ -14,11 +15,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir), digests=True)
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode_decode(documents(spark, sf_dir), vocabulary(), digests=True)
 
 
 QUERIES = {
+    "op8_pii": op8_pii,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 ORACLE_SQL: dict[str, str] = {}

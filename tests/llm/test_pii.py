@@ -1,0 +1,56 @@
+import random
+import re
+
+from sievework.llm import pii
+
+
+def brute(text):
+    """The contract's patterns, run as they stand."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1]))
+        if 14 <= len(d) <= 19 and total % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def base(text):
+    return [(s.start, s.kind, s.end) for s in pii.find_spans(text) if s.kind < pii.BASE]
+
+
+def test_against_the_patterns():
+    rnd = random.Random(3)
+    parts = ["a", "Zz", "@", ".", "1", "23", "4111 1111 1111 1111", "+49 (30) 12-34567 8", "10.0.0.1", "256.1.1.1", " ", "-", "é", "x@y.com", "..", "+", "\n", "%", "_"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(25)))
+        assert base(text) == brute(text), text
+
+
+def test_more_kinds_need_checksum_and_context():
+    assert [pii.KINDS[s.kind] for s in pii.find_spans("IBAN DE89 3704 0044 0532 0130 00.")] == ["iban"]
+    assert not [s for s in pii.find_spans("DE88370400440532013000") if s.kind >= pii.BASE]
+    assert [pii.KINDS[s.kind] for s in pii.find_spans("her SSN is 123-45-6789")] == ["ssn"]
+    assert not pii.find_spans("part 123-45-6789")
+
+
+def test_long_runs_are_linear():
+    for text in ("1" * 200_000, "a" * 200_000, "a@" * 50_000, "+1 " * 50_000, "1." * 50_000, "A1" * 50_000):
+        pii.find_spans(text)
+
+
+def test_rows(spark):
+    rows = [(1, "mail a@b.co", "x"), (1, "mail a@b.co", "x"), (2, None, "x"), (None, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted(((r.doc_id or 0), r.n_email, r.spans) for r in pii.find_pii(df, digests=True).collect())
+    assert got == [(0, 0, ""), (1, 1, "email:5:11"), (1, 1, "email:5:11"), (2, 0, "")]
+    assert pii.find_pii(df.limit(0)).count() == 0
+    assert pii.find_pii(df).filter("size(spans) = 1").count() == 2
