@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import bpe_encode_decode
 from .common import documents
+from .divergence import divergence_rules
 from .pii import find_pii
 
 
@@ -15,6 +16,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules(documents(spark, sf_dir))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir), digests=True)
 
@@ -24,6 +29,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_divergence": op1_divergence,
     "op8_pii": op8_pii,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
