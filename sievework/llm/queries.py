@@ -8,6 +8,7 @@ from .bpe_automaton import bpe_encode_decode
 from .common import documents
 from .divergence import divergence_rules
 from .pii import find_pii
+from .token_store import write_token_store
 
 
 def vocabulary() -> str:
@@ -20,6 +21,11 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules(documents(spark, sf_dir))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return write_token_store(docs, vocabulary()).lookup(docs, digests=True)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir), digests=True)
 
@@ -30,6 +36,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_divergence": op1_divergence,
+    "op4_token_store": op4_token_store,
     "op8_pii": op8_pii,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
