@@ -8,6 +8,7 @@ from .bpe_automaton import bpe_encode_decode
 from .common import documents
 from .divergence import divergence_rules
 from .pii import find_pii
+from .simhash import simhash_digest
 from .token_store import write_token_store
 
 
@@ -30,6 +31,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir), digests=True)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(documents(spark, sf_dir))
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode_decode(documents(spark, sf_dir), vocabulary(), digests=True)
 
@@ -38,6 +43,7 @@ QUERIES = {
     "op1_divergence": op1_divergence,
     "op4_token_store": op4_token_store,
     "op8_pii": op8_pii,
+    "op9_simhash": op9_simhash,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 ORACLE_SQL: dict[str, str] = {}
