@@ -9,6 +9,7 @@ from .common import documents
 from .divergence import divergence_rules
 from .pii import find_pii
 from .simhash import simhash_digest
+from .substring import remove_repeats
 from .token_store import write_token_store
 
 
@@ -27,6 +28,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_store(docs, vocabulary()).lookup(docs, digests=True)
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), digests=True)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir), digests=True)
 
@@ -42,6 +47,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_divergence": op1_divergence,
     "op4_token_store": op4_token_store,
+    "op6_substring": op6_substring,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_bpe_automaton": op10_bpe_automaton,
