@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_automaton import bpe_encode_decode
 from .common import documents
 from .divergence import divergence_rules
+from .line_chunks import dedup_lines
+from .mixing import mix_sources
 from .pii import find_pii
 from .simhash import simhash_digest
 from .substring import remove_repeats
@@ -23,6 +26,19 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules(documents(spark, sf_dir))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, sf_dir))
+    return mixed.select(
+        "doc_id",
+        "source",
+        F.col("_copy").alias("copy_no"),
+        F.col("_copies").alias("copies"),
+        F.round("_rate", 6).alias("rate"),
+        F.col("_shuffle_key").alias("shuffle_key"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return write_token_store(docs, vocabulary()).lookup(docs, digests=True)
@@ -32,6 +48,10 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), digests=True)
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir), digests=True)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir), digests=True)
 
@@ -46,10 +66,43 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_divergence": op1_divergence,
+    "op3_mixing": op3_mixing,
     "op4_token_store": op4_token_store,
     "op6_substring": op6_substring,
+    "op7_line_chunks": op7_line_chunks,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
-ORACLE_SQL: dict[str, str] = {}
+OP3_SQL = """
+with sizes as (
+  select source, sum(length(coalesce(text, '')))::double as chars from documents group by source
+), weighted as (
+  select source, chars, case when chars > 0 then sqrt(chars) else 0 end as weight from sizes
+), rates as (
+  select source, case when chars = 0 then 1.0
+    else (select sum(chars) from weighted) * weight / (chars * (select sum(weight) from weighted)) end as rate from weighted
+), points as (
+  select source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::bigint + 1)) as k from rates
+), logs as (
+  select source, rate, k, case when k = 0 then -rate else ln(rate) - ln(k::double) end as log_step from points
+), masses as (
+  select source, k, exp(sum(log_step) over (partition by source order by k)) as mass from logs
+), steps as (
+  select source, k, sum(mass) over (partition by source order by k) as step from masses
+), draws as (
+  select doc_id, source, text,
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint::double / 4503599627370496.0 as u
+  from documents
+), counted as (
+  select d.doc_id, d.source, d.text, count(s.k)::int as copies
+  from draws d left join steps s on s.source is not distinct from d.source and s.step <= d.u group by all
+), copied as (
+  select *, unnest(range(1, copies + 1))::int as copy_no from counted where copies > 0
+)
+select c.doc_id, c.source, c.copy_no, c.copies, round(r.rate, 6) as rate,
+  md5('mix-1-order:' || coalesce(c.doc_id::varchar, '') || ':' || c.copy_no::varchar) as shuffle_key, sha256(c.text) as text_sha256
+from copied c join rates r on r.source is not distinct from c.source
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL}

@@ -44,7 +44,7 @@ def _rolling(values: np.ndarray, length: int) -> np.ndarray:
     n = len(values) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, done, block, size, power = None, 0, values, 1, _P
+    out, done, block, size = None, 0, values, 1
     left = length
     while True:
         if left & 1:
@@ -54,8 +54,8 @@ def _rolling(values: np.ndarray, length: int) -> np.ndarray:
         left >>= 1
         if not left:
             return out
-        block = block[:-size] + block[size:] * power
-        power, size = power * power, 2 * size
+        block = block[:-size] + block[size:] * _power(size)
+        size *= 2
 
 
 def _power(n: int) -> np.uint64:
