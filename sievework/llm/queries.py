@@ -9,6 +9,7 @@ from .bpe_automaton import bpe_encode_decode
 from .common import documents
 from .divergence import divergence_rules
 from .line_chunks import dedup_lines
+from .media import media_digest, store_as_wave
 from .mixing import mix_sources
 from .pii import find_pii
 from .simhash import simhash_digest
@@ -44,6 +45,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_store(docs, vocabulary()).lookup(docs, digests=True)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(store_as_wave(documents(spark, sf_dir)))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), digests=True)
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_divergence": op1_divergence,
     "op3_mixing": op3_mixing,
     "op4_token_store": op4_token_store,
+    "op5_media": op5_media,
     "op6_substring": op6_substring,
     "op7_line_chunks": op7_line_chunks,
     "op8_pii": op8_pii,
