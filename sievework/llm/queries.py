@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe_automaton import bpe_encode_decode
 from .common import documents
 from .divergence import divergence_rules
+from .factorization import fit_quality, score_quality
 from .line_chunks import dedup_lines
 from .media import media_digest, store_as_wave
 from .mixing import mix_sources
@@ -27,6 +28,11 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules(documents(spark, sf_dir))
 
 
+def op2_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_quality(docs, fit_quality(docs, labels))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir))
     return mixed.select(
@@ -71,6 +77,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_divergence": op1_divergence,
+    "op2_factorization": op2_factorization,
     "op3_mixing": op3_mixing,
     "op4_token_store": op4_token_store,
     "op5_media": op5_media,
