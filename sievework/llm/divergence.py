@@ -138,12 +138,12 @@ def _repeat_words(hashes: Column) -> Column:
     return _let(windows(hashes), lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(covered(repeated(t)))).cast("long")
 
 
-def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """Counts, distances and verdict for each row.
 
     Null texts read as empty: no words, ``base_failed``. A null or unknown
     language takes the nearest reference. Repeated rows get the same verdict;
-    no other column is read.
+    no other column is read, but ``carry`` columns come back in a struct ``rest``.
     """
     rules = rules or Rules()
     langs = sorted(rules.common_words)
@@ -161,8 +161,10 @@ def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str
         codes[h % table] = c
 
     rows = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), docs[lang_col].cast("string").alias("_lang")
+        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), docs[lang_col].cast("string").alias("_lang"),
+        *([F.struct(*[docs[c] for c in carry]).alias("rest")] if carry else []),
     )
+    rest = ["rest"] if carry else []
     trimmed = F.btrim("_text", F.lit(BLANKS))
     rows = rows.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_BREAK)))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
@@ -170,6 +172,7 @@ def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str
     rows = rows.select(
         "doc_id",
         "_lang",
+        *rest,
         F.size("_words").cast("long").alias("n_words"),
         F.transform("_words", lambda x: F.xxhash64(x)).alias("_hashes"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -241,5 +244,5 @@ def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str
     word_odd = (F.col("n_words") >= rules.min_judged_words) & (F.col("word_distance") > rules.word_base + rules.word_slack / F.sqrt(words))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), (~base_failed & ~char_odd & ~word_odd).alias("kept"), "char_distance", "word_distance",
+        base_failed.alias("base_failed"), (~base_failed & ~char_odd & ~word_odd).alias("kept"), "char_distance", "word_distance", *rest,
     )
