@@ -1 +1,6 @@
+"""All queries over the driver's tables."""
 
+from . import core
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "core"]
