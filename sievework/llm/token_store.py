@@ -38,7 +38,8 @@ from .perfect_hash import PerfectHash, keys_of, occurrences
 MAGIC = 0x5349455645544F4B
 FOOTER = 6
 END_OF_WORD = "</w>"
-WORDS_KEPT, PIECES_KEPT = 300_000, 300_000
+WORDS_KEPT, PIECES_KEPT = 400_000, 300_000
+_POINTS = (b".", b",", b";", b":", b"!", b"?")
 
 
 class LibraryEncoder:
@@ -68,40 +69,45 @@ class LibraryEncoder:
     def _encode(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _learn_pieces(self, pieces: list[bytes]) -> None:
         if not pieces:
             return
-        ids = np.asarray(self._encode(" ".join(pieces)), self.kind)
+        ids = np.asarray(self._encode(b" ".join(pieces).decode()), self.kind)
         ends = np.flatnonzero(self.final[ids]) + 1
         if len(ends) != len(pieces):
             raise ValueError("a piece was cut")
-        at = 0
-        for piece, end in zip(pieces, ends.tolist(), strict=True):
-            self.pieces[piece] = ids[at:end].tobytes()
+        raw, width, at = ids.tobytes(), self.kind.itemsize, 0
+        for piece, end in zip(pieces, (ends * width).tolist(), strict=True):
+            self.pieces[piece] = raw[at:end]
             at = end
 
+    def _cut(self, word: bytes) -> list[bytes] | None:
+        """Pieces of a word; None where only the library can cut it. Letters with or without a point after them are most words."""
+        if word.isalpha():
+            return [word.lower()]
+        if word[-1:] in _POINTS and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1:]]
+        plain = None if b"<|" in word else plain_pieces(word.decode())
+        return None if plain is None else [p.encode() for p in plain]
+
     def _learn(self, words: set[bytes]) -> None:
-        cut, new = {}, {}
+        cut, new, pieces, old_words, old_pieces = {}, {}, self.pieces, self.old_words, self.old_pieces
         for w in words:
-            if (known := self.old_words.get(w)) is not None:
+            if (known := old_words.get(w)) is not None:
                 self.words[w] = known
-                continue
-            word = w.decode()
-            plain = None if "<|" in word else plain_pieces(word)
-            if plain is None:
-                self.words[w] = self._bytes(self._encode(word))
-                continue
-            cut[w] = plain
-            for p in plain:
-                if p not in self.pieces:
-                    if (known := self.old_pieces.get(p)) is not None:
-                        self.pieces[p] = known
-                    else:
-                        new[p] = None
+            elif (parts := self._cut(w)) is None:
+                self.words[w] = self._bytes(self._encode(w.decode()))
+            else:
+                cut[w] = parts
+                for p in parts:
+                    if p not in pieces:
+                        if (known := old_pieces.get(p)) is not None:
+                            pieces[p] = known
+                        else:
+                            new[p] = None
         self._learn_pieces(list(new))
-        pieces = self.pieces
         for w, parts in cut.items():
-            self.words[w] = b"".join([pieces[p] for p in parts])
+            self.words[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
     def texts(self, raw: list[bytes], end: bytes) -> list[bytes]:
         if len(self.words) > WORDS_KEPT:
