@@ -1,6 +1,6 @@
 """All queries over the driver's tables."""
 
-from . import core
+from . import core, text
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core"]
+__all__ = ["QUERIES", "SQL", "core", "text"]
