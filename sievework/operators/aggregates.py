@@ -73,7 +73,7 @@ def marginal_means(df: DataFrame, dimensions: Sequence[str], value: str) -> Data
 
 def review_counts(df: DataFrame, group: str, state: str, states: Sequence[str]) -> DataFrame:
     """A column for each state, zero where none."""
-    return df.groupBy(group).pivot(state, list(states)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(group).pivot(state, list(states)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def review_summary(df: DataFrame, group: str, rating: str, usable: str) -> DataFrame:

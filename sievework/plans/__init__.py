@@ -1,6 +1,6 @@
 """All queries over the driver's tables."""
 
-from . import core, select, text
+from . import core, metrics, select, text
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "select", "text"]
+__all__ = ["QUERIES", "SQL", "core", "metrics", "select", "text"]
