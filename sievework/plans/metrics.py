@@ -134,9 +134,9 @@ def guarded_ratios(t):
     return t.events.groupBy("event_type").agg(A.guarded_ratio(n(30), n(20)).alias("share"), A.guarded_ratio(n(30), F.lit(0)).alias("none"))
 
 
-@query("moving_means", "select event_id, round(avg(value) over (partition by event_type order by ts, event_id rows between 99 preceding and current row), 6) as moving from events")
+@query("moving_means", "select event_id, avg(round(value * 100)::bigint) over (partition by event_type order by ts, event_id rows between 99 preceding and current row) as moving from events")
 def moving_means(t):
-    return windows.moving_mean(t.events.select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], "value", 100).select("event_id", F.round("moving", 6).alias("moving"))
+    return windows.moving_mean(t.events.select("event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("long").alias("cents")), ["event_type"], ["ts", "event_id"], "cents", 100).select("event_id", "moving")
 
 
 @query("running_min_flag", """select event_id, min(value) over (w rows between unbounded preceding and current row) as best, coalesce(value < min(value) over (w rows between unbounded preceding and 1 preceding), true) as record from events window w as (partition by event_type order by ts, event_id)""")
