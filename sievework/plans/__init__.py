@@ -1,6 +1,6 @@
 """All queries over the driver's tables."""
 
-from . import core, evidence, metrics, select, text
+from . import core, evidence, io, metrics, select, text
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "evidence", "metrics", "select", "text"]
+__all__ = ["QUERIES", "SQL", "core", "evidence", "io", "metrics", "select", "text"]
