@@ -31,7 +31,7 @@ from xxhash import xxh3_128_digest
 from .common import NULL_ID, id_and_text, raw_texts, slices
 from .perfect_hash import mix
 
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM = 20, 6
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 LATER, FIRST, MIXED = 1, 2, 3
