@@ -118,4 +118,25 @@ select c.doc_id, c.source, c.copy_no, c.copies, round(r.rate, 6) as rate,
 from copied c join rates r on r.source is not distinct from c.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL}
+OP6_SQL = """
+with split as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as k from documents
+), words as (
+  select doc_id, unnest(k) as word, unnest(range(1, len(k) + 1)) as pos, len(k) as n from split
+), windows as (
+  select *, string_agg(word, ' ') over (partition by doc_id order by pos rows between current row and 19 following) as win from words
+), marked as (
+  select *, pos + 19 <= n and (doc_id, pos) <> (min((doc_id, pos)) over (partition by win, pos + 19 <= n)) as again from windows
+), covered as (
+  select *, max(again::int) over (partition by doc_id order by pos rows between 19 preceding and current row) = 1 as gone from marked
+), runs as (
+  select *, gone and not coalesce(lag(gone) over (partition by doc_id order by pos), false) as opens from covered
+), found as (
+  select doc_id, count(*) filter (where gone) as n_removed, sha256(coalesce(string_agg(word, ' ' order by pos) filter (where not gone), '')) as kept_sha256,
+    count(*) filter (where opens) as n_repeats from runs group by doc_id
+)
+select s.doc_id, len(s.k)::bigint as n_words, coalesce(n_removed, 0) as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256, coalesce(n_repeats, 0) as n_repeats
+from split s left join found f using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op6_substring": OP6_SQL}
