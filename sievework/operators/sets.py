@@ -17,16 +17,32 @@ def overlap_counts(left: DataFrame, right: DataFrame, keys: Mapping[str, str]) -
     return kinds.join(both, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("shared"))
 
 
-def reindexed_union(tables: Mapping[str, DataFrame], order: str, name: str = "source_set") -> DataFrame:
-    """G1: tables under one another, missing columns null, each row with its place in its own table.
+def numbered(df: DataFrame, within: str, order: str, name: str = "place", buckets: int | None = None) -> DataFrame:
+    """The place of each row inside ``within`` by a numeric order, from 0, without a task that sees a whole ``within``.
 
-    The place is per table, so tables are numbered side by side and no task sees all rows of the union.
+    Approximate quantiles of the order cut it into buckets; a row's place is
+    the number of rows in the buckets before plus its place in its own bucket.
+    The counts are one row for each value of ``within`` and bucket.
     """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    out = df.withColumn("_bucket", F.size(F.filter(edges, lambda c: c <= F.col(order))))
+    counts = out.groupBy(F.col(within).alias("_w"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_w").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_w", "_b", before.alias("_before"))
+    joined = out.join(offsets, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_bucket") == F.col("_b")))
+    own = F.row_number().over(Window.partitionBy(within, "_bucket").orderBy(order)) - 1
+    return joined.withColumn(name, own + F.col("_before")).drop("_w", "_b", "_bucket", "_before")
+
+
+def reindexed_union(tables: Mapping[str, DataFrame], order: str, name: str = "source_set") -> DataFrame:
+    """G1: tables under one another, missing columns null, each row with its place in its own table."""
     out = None
     for t, df in tables.items():
         part = df.withColumn(name, F.lit(t))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1)
+    return numbered(out, name, order)
 
 
 def priority_keys(first: DataFrame, then: DataFrame, key: str) -> DataFrame:
