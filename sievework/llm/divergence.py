@@ -135,7 +135,7 @@ def _repeat_words(hashes: Column) -> Column:
     def repeated(t):
         return F.when(F.size(t) > _MASK, full(t)).otherwise(_let(packed(t), lambda p: F.when(clash(t, p), full(t)).otherwise(from_packed(p))))
 
-    return _let(windows(hashes), lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(covered(repeated(t)))).cast("long")
+    return _let(_let(hashes, windows), lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(covered(repeated(t)))).cast("long")
 
 
 def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
@@ -237,6 +237,8 @@ def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str
         {
             "char_distance": F.array_min(F.transform(used, lambda r: _js_distance(classes, total, r["classes"]))),
             "word_distance": F.array_min(F.transform(used, word_distance)),
+            # A filter on the verdict must not be pushed below this projection: its expressions would be copied into the filter.
+            "_barrier": F.monotonically_increasing_id(),
         }
     )
     base_failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
@@ -244,5 +246,5 @@ def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str
     word_odd = (F.col("n_words") >= rules.min_judged_words) & (F.col("word_distance") > rules.word_base + rules.word_slack / F.sqrt(words))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), (~base_failed & ~char_odd & ~word_odd).alias("kept"), "char_distance", "word_distance", *rest,
+        base_failed.alias("base_failed"), (~base_failed & ~char_odd & ~word_odd & (F.col("_barrier") >= 0)).alias("kept"), "char_distance", "word_distance", *rest,
     )

@@ -50,3 +50,12 @@ def test_native(spark):
     plan = divergence_rules(spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert "Exchange" not in plan
+
+
+def test_a_filter_on_the_verdict_stays_above_the_expressions(spark):
+    rnd = random.Random(1)
+    df = spark.createDataFrame([(i, prose(rnd, 3000), "en") for i in range(4)], "doc_id long, text string, lang string").repartition(2)
+    kept = divergence_rules(df, carry=["text"]).filter("kept").select("rest.text")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("xxhash64" in line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter"))
+    assert kept.count() == 4
