@@ -120,6 +120,16 @@ class LibraryEncoder:
         return [b"".join([known[w] for w in words]) + end for words in split]
 
 
+_encoders: dict[tuple[str, int], LibraryEncoder] = {}
+
+
+def encoder_for(path: str, width: int) -> LibraryEncoder:
+    """One for each Python worker, so tasks that follow each other share what it remembers."""
+    if (path, width) not in _encoders:
+        _encoders[path, width] = LibraryEncoder(path, width)
+    return _encoders[path, width]
+
+
 @dataclass
 class TokenStore:
     folder: str
@@ -260,7 +270,7 @@ def write_token_store(
     at = np.asarray(bounds, np.int64)
 
     def encode():
-        encoder = LibraryEncoder(vocabulary, width)
+        encoder = encoder_for(vocabulary, width)
         if len(encoder.final) > 1 << 8 * width or end_id >> 8 * width:
             raise ValueError(f"ids don't fit into {width} bytes")
         end = np.array([end_id], encoder.kind).tobytes()
