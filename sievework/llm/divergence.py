@@ -159,6 +159,7 @@ def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str
     codes = [""] * table
     for h, c in by_hash.items():
         codes[h % table] = c
+    slots = F.split(F.lit(" ".join(codes)), " ")  # folded to one literal array; no code is a blank
 
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), docs[lang_col].cast("string").alias("_lang"),
@@ -189,7 +190,7 @@ def divergence_rules(docs: DataFrame, rules: Rules | None = None, *, id_col: str
             "_points": F.char_length(F.regexp_replace("_rest3", r"[^.,;:!?'\"()\-]+", "")),
             "n_symbols": F.char_length(F.regexp_replace("_rest3", r"[^#*$%&|<>]+", "")).cast("long"),
             "_coded": F.array_join(
-                F.transform(F.filter("_hashes", lambda x: x.isin(*by_hash)), lambda x: F.get(F.array(*map(F.lit, codes)), F.pmod(x, F.lit(table)).cast("int"))), ""
+                F.transform(F.filter("_hashes", lambda x: x.isin(*by_hash)), lambda x: F.get(slots, F.pmod(x, F.lit(table)).cast("int"))), ""
             ),
             "n_repeat_words": _repeat_words(F.col("_hashes")),
             "word_chars": (F.col("_chars") - (F.col("_n2") - F.col("_n3"))).cast("long"),
