@@ -17,6 +17,7 @@ from sievework.llm.common import shared_folder
 from sievework.llm.divergence import divergence_rules
 from sievework.llm.line_chunks import dedup_lines
 from sievework.llm.mixing import mix_sources
+from sievework.llm.near_copies import near_copy_components
 from sievework.llm.queries import vocabulary
 from sievework.llm.simhash import keep_representatives
 
@@ -34,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return keep_representatives(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return keep_representatives(docs, near_copy_components(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,6 +174,18 @@ def links(nodes: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long").distinct()
 
 
+def named_components(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for each row of ``prints(doc_id, fp)``; ``nodes(fp, least)`` has the smallest doc_id of each ``fp``."""
+    linked = connected_components(edges, checkpointed)
+    members = checkpointed(linked.join(nodes, linked["node"] == nodes["fp"]).select("fp", "component", "least"))
+    named = members.groupBy("component").agg(F.min("least").alias("named"))
+    spread = named.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = members.join(spread, "component").select("fp", F.col("named").alias("component_id"))
+    alone = nodes.join(members.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    by_print = checkpointed(found.union(alone))
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row; the component is the smallest doc_id reachable over links.
 
@@ -183,14 +195,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     prints = checkpointed(fingerprints(docs))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(links(nodes), checkpointed)
-    members = checkpointed(linked.join(nodes, linked["node"] == nodes["fp"]).select("fp", "component", "least"))
-    named = members.groupBy("component").agg(F.min("least").alias("named"))
-    spread = named.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = members.join(spread, "component").select("fp", F.col("named").alias("component_id"))
-    alone = nodes.join(members.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    by_print = checkpointed(found.union(alone))
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return named_components(prints, nodes, links(nodes))
 
 
 def keep_representatives(docs: DataFrame, components: DataFrame | None = None) -> DataFrame:
