@@ -63,6 +63,58 @@ def greedy_near_duplicates(df: DataFrame, group: str, key: str, vector: str, thr
     return rows.groupBy("g").applyInPandas(lambda r: greedy(r), "key long, kept_by long")
 
 
+def greedy_over_all(df: DataFrame, key: str, vector: str, threshold: float, hash_col: str | None = None, bits: int = 4, block: int = 256) -> DataFrame:
+    """``(key, kept_by)``; rows are visited by key and kept unless near a *kept* row of the whole table.
+
+    Two rows with a hash are near when at most ``bits`` of its bits differ, two
+    rows without one (or all, where no hash column is named) by a mean absolute
+    difference up to ``threshold``. Rounds take the first undecided rows, a
+    block at most, decide them on the driver, and hold every undecided row
+    against those kept, so no row is compared with a removed one and no group
+    is gathered. The number of rounds grows with the number of kept rows.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .splits import checkpointed
+
+    def near(v, h, vs, hs, hashed):
+        d = np.array([np.abs(u - v).mean() for u in vs]) <= threshold if h is None and len(vs) else np.zeros(len(vs), bool)
+        if h is None:
+            return d & ~hashed
+        return hashed & (np.bitwise_count(hs ^ np.int64(h).view(np.uint64)) <= bits)
+
+    def packed(kept):
+        vs = np.array([v for _, v, _ in kept], np.float64)
+        hs = np.array([h or 0 for _, _, h in kept], np.int64).view(np.uint64)
+        return vs, hs, np.array([h is not None for _, _, h in kept], bool)
+
+    given = F.col(hash_col).cast("long") if hash_col else F.lit(None).cast("long")
+    rest = checkpointed(df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"), given.alias("hash")))
+    out = None
+    while True:
+        kept = []
+        for r in rest.orderBy("key", "hash", "vector").limit(block).collect():  # a block at most
+            v = np.array(r["vector"], np.float64)
+            if not kept or not near(v, r["hash"], *packed(kept)).any():
+                kept.append((r["key"], v, r["hash"]))
+        if not kept:
+            return rest.select("key", F.col("key").alias("kept_by")) if out is None else out
+
+        def scan(batches, ids=[k for k, _, _ in kept], held=packed(kept)):
+            for part in batches:
+                owner = []
+                for v, h in zip(part["vector"].to_pylist(), part["hash"].to_pylist(), strict=True):
+                    at = np.flatnonzero(near(np.array(v, np.float64), h, *held))
+                    owner.append(ids[at[0]] if len(at) else None)
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("key", "vector", "hash")), pa.array(owner, pa.int64())], names=["key", "vector", "hash", "kept_by"])
+
+        told = checkpointed(rest.mapInArrow(scan, "key long, vector array<double>, hash long, kept_by long"))
+        done = told.filter("kept_by is not null").select("key", "kept_by")
+        out = done if out is None else out.unionByName(done)
+        rest = told.filter("kept_by is null").drop("kept_by")
+
+
 def consecutive(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """E4, row form: rows whose value differs from the row before."""
     w = Window.partitionBy(*partition).orderBy(*order)

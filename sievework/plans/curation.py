@@ -86,7 +86,7 @@ def derived_prompts(t):
 
 @query("greedy_near_duplicates")
 def greedy_near_duplicates(t):
-    return dedup.greedy_near_duplicates(t.embeddings, "label", "vec_id", "embedding", 0.9)
+    return dedup.greedy_over_all(t.embeddings, "vec_id", "embedding", 0.9)
 
 
 @query("selection_violations", "select 'repeated' as rule, 1::bigint as n union all select 'unknown', 1 union all select 'identity', count(*) from documents where doc_id % 10 = 3 and source <> 'src3'")
