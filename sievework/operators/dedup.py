@@ -76,7 +76,7 @@ def greedy_over_all(df: DataFrame, key: str, vector: str, threshold: float, hash
     import numpy as np
     import pyarrow as pa
 
-    from .splits import checkpointed
+    from .storage import checkpointed
 
     def near(v, h, vs, hs, hashed):
         d = np.array([np.abs(u - v).mean() for u in vs]) <= threshold if h is None and len(vs) else np.zeros(len(vs), bool)

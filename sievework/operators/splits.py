@@ -9,15 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import ROLES, group_key, hash_bucket, hash_fraction, role_by_thresholds, seeded
 from .graph import connected_components
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names; without one, in the session's temporary folder (tests)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        conf = context.getConf()
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir") or "/tmp/sievework-checkpoint")
-    return df.checkpoint()
+from .storage import checkpointed
 
 
 def group_split(df: DataFrame, keys: Sequence[str], row_key: str, *, seed: int = 0, fractions=(0.9, 0.05, 0.05), fallback: Sequence[str] = ()) -> DataFrame:

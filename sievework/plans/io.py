@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
+from ..operators.storage import shared_folder
 from ..operators.windows import GuardPolicy
 from ..sources import files
 from ..streaming import monitor
@@ -13,21 +14,21 @@ from .registry import query
 
 @query("json_lines_scan", "select doc_id, lang, source from documents")
 def json_lines_scan(t):
-    path = files.scratch(t.spark, "jsonl")
+    path = shared_folder(t.spark, "jsonl")
     files.write_sorted_json(t.documents.select("doc_id", "lang", "source"), path, rows_per_file=300)
     return files.json_lines(t.spark, path, "doc_id long, lang string, source string")
 
 
 @query("json_lines_tolerant", "select event_id from events where event_id % 10 > 0")
 def json_lines_tolerant(t):
-    path = files.scratch(t.spark, "jsonl")
+    path = shared_folder(t.spark, "jsonl")
     t.events.select(F.when(F.col("event_id") % 10 == 0, '{"event_id": ').otherwise(F.to_json(F.struct("event_id"))).alias("value")).write.text(path)
     return files.json_lines_tolerant(t.spark, path, "event_id long")
 
 
 @query("json_lines_errors", "select count(*) as bad from events where event_id % 10 in (0, 1)")
 def json_lines_errors(t):
-    path = files.scratch(t.spark, "jsonl")
+    path = shared_folder(t.spark, "jsonl")
     line = F.when(F.col("event_id") % 10 == 0, '{"event_id": ').when(F.col("event_id") % 10 == 1, '{"other": 1}').otherwise(F.to_json(F.struct("event_id")))
     t.events.select(line.alias("value")).write.text(path)
     return files.json_lines_errors(t.spark, path, "event_id long", ["event_id"]).agg(F.count("*").alias("bad"))
@@ -45,7 +46,7 @@ def row_counts(t):
 
 @query("raw_records", "select row_number() over (order by event_id) - 1 as index, event_id as value from events")
 def raw_records(t):
-    folder = files.scratch(t.spark, "raw")
+    folder = shared_folder(t.spark, "raw")
     rows = t.events.select("event_id", F.unhex(F.lpad(F.hex("event_id"), 16, "0")).alias("record")).coalesce(1)
     paths = files.write_raw_records(rows, "event_id", "record", folder)
     found = files.raw_records(t.spark, paths[0], 8)
@@ -54,14 +55,14 @@ def raw_records(t):
 
 @query("review_sheet", "select doc_id::varchar as doc_id, source, lang || '|' || source as tags from documents")
 def review_sheet(t):
-    path = files.scratch(t.spark, "sheet")
+    path = shared_folder(t.spark, "sheet")
     files.write_review_sheet(t.documents.select("doc_id", "source", F.array("lang", "source").alias("tags")), path)
     return files.read_review_sheet(t.spark, path, "doc_id string, source string, tags string")
 
 
 @query("catalog_roundtrip", "select doc_id, source from documents")
 def catalog_roundtrip(t):
-    folder = files.scratch(t.spark, "catalog")
+    folder = shared_folder(t.spark, "catalog")
     files.write_catalog(t.documents.select("doc_id", "source"), "doc_id", folder, version=2, provenance={"from": "documents"})
     return files.read_catalog(t.spark, "doc_id", folder, version=2)
 
@@ -100,7 +101,7 @@ def grid_udfs(t):
 @query("guard_stream_rows")
 def guard_stream_rows(t):
     """The streaming guard over a log written as files; its batch twin is ``bad_streaks``."""
-    folder, out = files.scratch(t.spark, "log"), files.scratch(t.spark, "guard")
+    folder, out = shared_folder(t.spark, "log"), shared_folder(t.spark, "guard")
     e = t.events.select(F.col("event_type").alias("log"), F.col("event_id").alias("step"), (10 + F.col("value") / (1 + F.col("event_id") % 17)).alias("loss"), F.col("value").alias("gradient"))
     files.write_sorted_json(e, folder)
     stream = monitor.tail_json(t.spark, folder, "log string, step long, loss double, gradient double")

@@ -18,12 +18,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MEMBER_LIMIT = 100 << 20
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: below the checkpoint folder, a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    return f"{(conf.get('spark.checkpoint.dir') or 'file:///tmp/sievework-scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # JSON lines
 
 
