@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: Arrow mapping, shared folders, word tables.
+"""What the operators of this subpackage share: Arrow mapping and words.
 
 A *word* is a maximal run of characters other than U+0020 and U+0009..U+000D.
 On UTF-8 bytes that is exactly what ``bytes.split()`` returns.
@@ -6,9 +6,6 @@ On UTF-8 bytes that is exactly what ``bytes.split()`` returns.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +31,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def keyed_text(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, text_key)``; rows that are equal in id and text have one key, others (but for 64-bit collisions) differ in id or key."""
+    rows = id_and_text(docs)
+    return rows.withColumn("text_key", F.xxhash64("text", F.col("doc_id").isNull()))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -56,25 +59,3 @@ def map_slices(
             yield step(part)
 
     return df.mapInArrow(run, schema)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that driver and executors share; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) if _is_set(spark) else None
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/sievework-shared"
-        spark.sparkContext.setCheckpointDir(base)
-        os.environ.setdefault("SIEVEWORK_SHARED", base)
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _is_set(spark: SparkSession) -> bool:
-    return spark.sparkContext.getConf().contains("spark.checkpoint.dir")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession, "x")
-    return df.checkpoint()

@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from ..operators.storage import checkpointed
 
 SEED = "mix-1"
 TEMPERATURE = 0.5

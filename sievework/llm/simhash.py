@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.graph import connected_components
-from .common import checkpointed, id_and_text, map_slices, raw_texts
+from ..operators.storage import checkpointed
+from .common import NULL_ID, keyed_text, map_slices, raw_texts
 
 SHINGLE = 3
 SEED = 42
@@ -84,33 +85,41 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(whose)
 
 
-def fingerprint(raw: bytes) -> int:
-    """SimHash of the three-word shingles of a text, A-Z lower-cased; 0 without words."""
-    words = raw.lower().split()
+def shingle_hashes(words: list[bytes], size: int, digest) -> np.ndarray:
+    """``digest`` (seeded) of each run of ``size`` words joined by a blank; of the whole sequence where it is shorter; of none without words."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([digest(joined, SEED)], np.uint64)
     starts, at = [0], 0
     for w in words:
         at += len(w) + 1
         starts.append(at)
-    if len(words) <= SHINGLE:
-        return xxh64_intdigest(joined, SEED)
-    hashes = np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE:], strict=False)], np.uint64)
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[size:], strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash: a bit is set where it is set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(raw: bytes) -> int:
+    """SimHash of the three-word shingles of a text, A-Z lower-cased; 0 without words."""
+    return majority(shingle_hashes(raw.lower().split(), SHINGLE, xxh64_intdigest))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` for each row; ``fp`` is the fingerprint as a signed integer."""
+    """``(doc_id, text_key, fp)`` for each row; ``fp`` is the fingerprint as a signed integer."""
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(t) for t in raw_texts(part["text"])], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([part["doc_id"], pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(prints, pa.int64())], names=["doc_id", "text_key", "fp"])
 
-    return map_slices(id_and_text(docs), lambda: step, "doc_id long, fp long")
+    return map_slices(keyed_text(docs), lambda: step, "doc_id long, text_key long, fp long")
 
 
 def _forest(group: np.ndarray) -> tuple[list, list]:
@@ -175,23 +184,29 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def named_components(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``prints(doc_id, fp)``; ``nodes(fp, least)`` has the smallest doc_id of each ``fp``."""
+    """``(doc_id, text_key, root, component_id)`` for each row of ``prints(doc_id, text_key, fp)``, with ``fp``.
+
+    ``nodes(fp, least)`` has the smallest doc_id of each ``fp``; ``root`` is the
+    component's smallest ``fp``, ``component_id`` its smallest doc_id.
+    """
     linked = connected_components(edges, checkpointed)
     members = checkpointed(linked.join(nodes, linked["node"] == nodes["fp"]).select("fp", "component", "least"))
     named = members.groupBy("component").agg(F.min("least").alias("named"))
     spread = named.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = members.join(spread, "component").select("fp", F.col("named").alias("component_id"))
-    alone = nodes.join(members.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    found = members.join(spread, "component").select("fp", F.col("component").alias("root"), F.col("named").alias("component_id"))
+    alone = nodes.join(members.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     by_print = checkpointed(found.union(alone))
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row; the component is the smallest doc_id reachable over links.
+    """``(doc_id, text_key, fp, root, component_id)`` for each row; the component is the smallest doc_id reachable over links.
 
     Null and empty texts have fingerprint zero and link like any other.
     Repeated rows come back repeated. A null doc_id takes part in links and is
-    named as a component only where no other id is in it, as null.
+    named as a component only where no other id is in it, as null. Rows that
+    share an id have one name, though they may lie in components of their own:
+    ``root`` tells these apart.
     """
     prints = checkpointed(fingerprints(docs))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -199,16 +214,17 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, components: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stand for their component: one for each.
+    """The rows of ``docs`` (all columns) that stand for their component: exactly one for each.
 
-    Equal rows of one id count as copies, and one of them stays. Rows without an
-    id stay where no other row of their component has one.
+    It is the row with the smallest doc_id (a null one is the largest), then the
+    smallest key of its text; of rows equal in both, any one.
     """
     components = simhash_components(docs) if components is None else components
-    chosen = components.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    columns = [docs[c] for c in docs.columns]
-    kept = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_kept_id"]), "left_semi").select(*columns)
-    return kept.dropDuplicates(["doc_id", "text"])
+    order = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
+    chosen = components.groupBy("root").agg(F.min(order).alias("first")).select(F.coalesce("first.id", F.lit(NULL_ID)).alias("id"), F.col("first.text").alias("key")).distinct()
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")), docs["doc_id"].isNull()).alias("key"))
+    kept = keyed.join(chosen, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_and_text, map_slices, raw_texts, shared_folder, slices
+from ..operators.storage import shared_folder
+from .common import NULL_ID, id_and_text, map_slices, raw_texts, slices
 from .pieces import plain_pieces
 from .perfect_hash import PerfectHash, keys_of, occurrences
 

@@ -102,3 +102,21 @@ def test_random_fingerprints_link_exactly(spark):
     want = brute_components(signed, [s & (2**64 - 1) for s in signed])
     groups = lambda f: {frozenset(s for s in signed if f(s) == f(t)) for t in signed}
     assert groups(root) == groups(want.get)
+
+
+def test_one_representative_for_each_component(spark):
+    a, b = "alpha beta gamma delta", "one two three four five six"
+    schema = "doc_id long, text string, root int, text_key string, component_id int"
+
+    def kept(rows):
+        df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], schema)
+        out = simhash.keep_representatives(df)
+        assert out.columns == df.columns
+        return sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in out.collect())
+
+    assert kept([(1, a), (None, a), (None, b)]) == [(-1, b), (1, a)]
+    assert kept([(5, a), (5, b), (3, b)]) == [(3, b), (5, a)]
+    assert kept([(None, a), (None, a), (None, b)]) == [(-1, a), (-1, b)]
+    assert kept([(7, None), (8, ""), (8, "")]) in ([(7, None)], [(7, "")])
+    assert kept([(1, a)] * 3) == [(1, a)]
+    assert kept([(1, "word " * 60_000), (2, "word " * 60_000)]) == [(1, "word " * 60_000)]
