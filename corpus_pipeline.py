@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.bpe_automaton import bpe_encode_decode
-from sievework.llm.common import shared_folder
 from sievework.llm.divergence import divergence_rules
 from sievework.llm.line_chunks import dedup_lines
 from sievework.llm.mixing import mix_sources
 from sievework.llm.near_copies import near_copy_components
 from sievework.llm.queries import vocabulary
 from sievework.llm.simhash import keep_representatives
+from sievework.operators.storage import remove_folder, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; what a stage read goes as soon as the next one is written, the rest when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = shared_folder(spark, "pipeline")
+    folder, read = shared_folder(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if read:
+            remove_folder(spark, read)
+        read = f"{folder}/{k}-{name}"
+        docs = spark.read.parquet(read)
     return docs
