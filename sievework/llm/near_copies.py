@@ -27,7 +27,7 @@ from xxhash import xxh3_64_intdigest
 
 from ..operators.graph import connected_components
 from ..operators.storage import checkpointed
-from .common import id_and_text, keyed_text, map_slices, raw_texts, slices
+from .common import NULL_ID, keyed_text, map_slices, raw_texts, slices
 from .perfect_hash import mix
 from .simhash import SEED, links, majority, named_components, shingle_hashes
 
@@ -93,13 +93,9 @@ def _prints(docs: DataFrame) -> DataFrame:
 
 
 def _node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(fp, text)``, one row for each wanted ``fp``."""
-
-    def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([node_of(t.lower().split()) for t in raw_texts(part["text"])], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), part["text"]], names=["fp", "text"])
-
-    return map_slices(id_and_text(docs), lambda: step, "fp long, text string").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+    """``(fp, text)`` of each node in ``wanted(fp, id, key)``, read from one row that has it: copies are not gathered."""
+    rows = keyed_text(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("text_key").alias("key"), "text")
+    return rows.join(wanted, ["id", "key"]).select("fp", "text").dropDuplicates(["fp"])
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -158,14 +154,15 @@ def near_copy_components(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_key, fp, root, component_id)`` for each row, named as in ``simhash_components``; texts without words are one node."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = checkpointed(_prints(docs))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("keys").alias("keys")))
+    row = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("text_key").alias("key"))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(row).alias("row"), F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("keys").alias("keys")))
     keyed = nodes.select("fp", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first").repartition(n)
     members = checkpointed(keyed.join(shared, "key"))
     starred = members.filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
     tried = checkpointed(starred.union(_simhash_candidates(nodes)).distinct())
     wanted = tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = checkpointed(_node_texts(docs, wanted.repartition(n)))
+    texts = checkpointed(_node_texts(docs, nodes.join(wanted, "fp", "left_semi").select("fp", "row.*").repartition(n)))
     sketches = checkpointed(_sketches(texts))
     one, two = sketches.alias("x"), sketches.alias("y")
     hopeful = tried.join(one, tried["a"] == F.col("x.fp")).join(two, (F.col("b") == F.col("y.fp")) & _may_link("x", "y")).select("a", "b")
