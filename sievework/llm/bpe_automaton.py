@@ -1,8 +1,10 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The automaton reads *tokens* and accepts exactly the token sequences that byte
-pair encoding produces. It starts with one state and an arc for each base
-symbol; every merge (u, v) -> t, in order of rank, adds its gadget:
+Built in two steps from the merges:
+
+*Gadgets.* An automaton reads *tokens* and accepts exactly the token sequences
+that byte pair encoding produces. It starts with one state and an arc for each
+base symbol; every merge (u, v) -> t, in order of rank, adds its gadget:
 
 * the state that u-arcs lead to is copied without its v-arc, and u-arcs now
   lead to the copy (u followed by v would have been merged);
@@ -11,8 +13,16 @@ symbol; every merge (u, v) -> t, in order of rank, adds its gadget:
 All arcs of one label lead to one state, so states are named by the last token,
 and a copy differs from its original by one arc: it is stored as that
 difference, with its rank. ``arc()`` answers from these tables whether a state
-has an arc. Encoding walks the arcs whose labels spell the word; exactly one
-path reaches the end. Decoding emits the labels of the ids' arcs.
+has an arc.
+
+*Determinised table.* Encoding reads *symbols*, one transition of a table each,
+without search or backtracking. A state of that table holds every arc of the
+token automaton that the last symbols may have entered: the part of its label
+read so far and the tokens before it that are not settled. Tokens on which all
+of these agree are settled: the transition emits them. Transitions are computed
+when first reached and kept up to a bound.
+
+Decoding emits the labels of the ids' arcs.
 """
 
 from __future__ import annotations
@@ -27,7 +37,8 @@ from .common import id_and_text, map_slices, raw_texts
 from .pieces import SPECIAL, WordMemory, plain_pieces, special_parts
 
 END = "</w>"
-WORDS_KEPT, PIECES_KEPT, ARCS_KEPT = 200_000, 200_000, 500_000
+_BYTES = [bytes([b]) for b in range(256)]
+WORDS_KEPT, PIECES_KEPT, ARCS_KEPT, STATES_KEPT = 300_000, 200_000, 500_000, 150_000
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -40,6 +51,8 @@ def byte_symbols() -> list[str]:
 
 
 class TokenAutomaton:
+    """The gadgets: ``arc(state, token)`` over token numbers; a state is the last token, -1 at the start."""
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         symbols = byte_symbols()
         names = symbols + [s + END for s in symbols]
@@ -48,27 +61,19 @@ class TokenAutomaton:
         self.right: list[int] = [-1] * len(names)
         self.ids: list[int] = [vocab[n] for n in names]
         self.dropped: dict[tuple[int, int], int] = {}  # (state's token, token of the arc it lost): rank of that gadget
-        self.known: dict[tuple[int, int], bool] = {}
         at = {n: i for i, n in enumerate(names)}
         for rank, (u_name, v_name) in enumerate(merges):
             u, v = at[u_name], at[v_name]
             if not self.arc(u, v):
                 continue
             self.dropped[u, v] = rank
-            t = at[u_name + v_name] = len(names)
+            at[u_name + v_name] = len(names)
             names.append(u_name + v_name)
             self.rank.append(rank)
             self.left.append(u)
             self.right.append(v)
             self.ids.append(vocab[u_name + v_name])
-            if t >> 20:
-                raise ValueError("too many merges")
-        self.known.clear()
         self.at = at
-        self.reach: dict[str, int] = {}  # the longest label that starts with these three characters
-        for n in names:
-            n = n.removesuffix(END)
-            self.reach[n[:3]] = max(self.reach.get(n[:3], 0), len(n))
         self.label = {i: n for n, i in vocab.items()}
 
     def arc(self, state: int, token: int) -> bool:
@@ -84,44 +89,99 @@ class TokenAutomaton:
             until, a = self.rank[a], self.right[a]
         return True
 
-    def step(self, state: int, token: int) -> bool:
-        if state < 0:
-            return True
-        key = (state, token)
-        found = self.known.get(key)
+
+class SymbolTable:
+    """The determinised automaton: each state has one successor for each symbol (a byte, and whether it is a word's last).
+
+    A state is ``(anchor, open)``: the anchor is the last settled token; ``open``
+    has, for each arc that may be under way, the tokens between the anchor and
+    the arc's start, and the part of its label read so far. Once ``most`` states
+    are kept, transitions that are not in the table are worked out each time.
+    """
+
+    def __init__(self, automaton: TokenAutomaton, most: int = STATES_KEPT):
+        code = {c: b for b, c in enumerate(byte_symbols())}
+        self.automaton, self.most = automaton, most
+        self.inner: dict[bytes, int] = {}  # label of a token within a word, of one that ends it
+        self.last: dict[bytes, int] = {}
+        for name, token in automaton.at.items():
+            label = bytes([code[c] for c in name.removesuffix(END)])
+            (self.last if name.endswith(END) else self.inner)[label] = token
+        self.begun = {label[:k] for labels in (self.inner, self.last) for label in labels for k in range(1, len(label))}
+        self.arcs: dict[int, bool] = {}
+        start = (-1, (((), b""),))
+        self.states, self.number = [start], {start: 0}
+        self.next: dict[int, int] = {}  # state, symbol: next state, and whether ids are settled
+        self.settled: dict[int, tuple[int, ...]] = {}
+
+    def _arc(self, state: int, token: int) -> bool:
+        key = state << 20 | token
+        found = self.arcs.get(key)
         if found is None:
-            if len(self.known) >= ARCS_KEPT:
-                self.known.clear()
-            found = self.known[key] = self.arc(state, token)
+            if len(self.arcs) >= ARCS_KEPT:
+                self.arcs.clear()
+            found = self.arcs[key] = self.automaton.arc(state, token)
         return found
 
-    def encode(self, piece: str) -> list[int]:
-        """Ids of one piece; its characters are byte symbols."""
-        n, at, step, reach = len(piece), self.at, self.step, self.reach
-        if not n:
+    def transition(self, state: tuple, byte: int, last: bool) -> tuple[tuple | None, tuple[int, ...]]:
+        """The next state and the ids settled by this symbol."""
+        (anchor, open_), labels, begun, symbol = state, self.last if last else self.inner, self.begun, _BYTES[byte]
+        live, done = [], None
+        for path, read in open_:
+            label = read + symbol
+            if not last and label in begun:
+                live.append((path, label))
+            if done is None and (token := labels.get(label)) is not None:
+                before = path[-1] if path else anchor
+                if before < 0 or self._arc(before, token):
+                    done = (*path, token)  # byte pair encoding is a function, so no other path ends here
+        if done is None:
+            raise ValueError(f"no path reads byte {byte}")
+        ids = self.automaton.ids
+        if last:
+            return None, tuple([ids[t] for t in done])
+        same = len(done) if not live or live[0][0] else 0  # the first arc under way began earliest
+        for path, _ in live if same else ():
+            if len(path) < same:
+                same = len(path)
+            while path[:same] != done[:same]:
+                same -= 1
+            if not same:
+                break
+        if not same:
+            return (anchor, (*live, (done, b""))), ()
+        open_ = (*[(path[same:], label) for path, label in live], (done[same:], b""))
+        return (done[same - 1], open_), tuple([ids[t] for t in done[:same]])
+
+    def encode(self, piece: bytes) -> list[int]:
+        """Ids of one piece, given as its bytes."""
+        if not piece:
             return []
-        path, ends, dead = [], [0], set()
-        i, state, j = 0, -1, min(n, reach.get(piece[:3], 2))
-        while True:
-            while j > i:
-                token = at.get(piece[i:j] + END if j == n else piece[i:j])
-                if token is not None and j not in dead and step(state, token):
-                    break
-                j -= 1
-            else:  # no arc leads on from here; the position has one state only, so it is never entered again
-                if not path:
-                    raise ValueError(f"no path spells {piece!r}")
-                j = ends.pop()
-                dead.add(j)
-                j -= 1
-                path.pop()
-                i, state = ends[-1], path[-1] if path else -1
-                continue
-            path.append(token)
-            if j == n:
-                return [self.ids[t] for t in path]
-            ends.append(j)
-            i, state, j = j, token, min(n, j + reach.get(piece[j : j + 3], 2))
+        following, settled, at, out, end = self.next, self.settled, 0, [], len(piece) - 1
+        for i, byte in enumerate(piece):
+            key = at << 9 | (i == end) << 8 | byte
+            found = following.get(key)
+            if found is None:
+                if len(self.states) >= self.most:
+                    return out + self._untabled(self.states[at], piece, i)
+                state, ids = self.transition(self.states[at], byte, i == end)
+                number = 0
+                if state is not None and (number := self.number.setdefault(state, len(self.states))) == len(self.states):
+                    self.states.append(state)
+                if ids:
+                    settled[key] = ids
+                found = following[key] = number << 1 | bool(ids)
+            if found & 1:
+                out += settled[key]
+            at = found >> 1
+        return out
+
+    def _untabled(self, state: tuple, piece: bytes, start: int) -> list[int]:
+        out = []
+        for i in range(start, len(piece)):
+            state, ids = self.transition(state, piece[i], i == len(piece) - 1)
+            out += ids
+        return out
 
 
 class WordCoder:
@@ -135,48 +195,47 @@ class WordCoder:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = TokenAutomaton(model["vocab"], merges)
         self.automaton.label |= {i: s for s, i in SPECIAL.items()}
+        self.table = SymbolTable(self.automaton)
         # Only for words beyond Latin-1: the library's own Unicode tables normalise and cut them.
         library = Tokenizer.from_file(path)
         self.normal, self.cut = library.normalizer, library.pre_tokenizer
-        self.symbols = byte_symbols()
+        self.code = {c: b for b, c in enumerate(byte_symbols())}
         self.pieces = WordMemory(self._piece, PIECES_KEPT)
         self.words = WordMemory(self._word, WORDS_KEPT)
 
-    def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
-        return self._coded(self.automaton.encode(piece))
-
-    def _coded(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids and their labels; each is led in by a blank."""
-        return len(ids), "".join([f" {i}" for i in ids]).encode(), f" {self.decode(ids)}".encode() if ids else b""
+    def _piece(self, piece: bytes) -> tuple[bytes, bytes]:
+        return self._coded(self.table.encode(piece))
 
-    def _symbols(self, text: str) -> str:
-        return text if text.isascii() else "".join([self.symbols[b] for b in text.encode()])
+    def _coded(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """The ids and their labels as text, each led in by a blank; labels have no blanks."""
+        return "".join([f" {i}" for i in ids]).encode(), f" {self.decode(ids)}".encode() if ids else b""
 
     def decode(self, ids: list[int]) -> str:
         label = self.automaton.label
         return " ".join([label[i] for i in ids])
 
-    def _parts(self, word: str) -> list[tuple[int, bytes, bytes]]:
+    def _parts(self, word: str) -> list[tuple[bytes, bytes]]:
         out = []
         for part in special_parts(word) if "<|" in word else (word,):
             if part in SPECIAL:
                 out.append(self._coded([SPECIAL[part]]))
             elif (plain := plain_pieces(part)) is not None:
-                out += [self.pieces[self._symbols(p)] for p in plain]
+                out += [self.pieces[p.encode()] for p in plain]
             else:
-                out += [self.pieces[p] for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(part))]
+                out += [self.pieces[bytes([self.code[c] for c in p])] for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(part))]
         return out
 
-    def _word(self, word: bytes) -> tuple[int, bytes, bytes]:
+    def _word(self, word: bytes) -> tuple[bytes, bytes]:
         parts = self._parts(word.decode())
-        if len(parts) == 1:
-            return parts[0]
-        return sum(p[0] for p in parts), b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
+        return parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
 
     def text(self, raw: bytes) -> tuple[int, bytes, bytes]:
-        words = self.words
-        found = [words[w] for w in raw.split()]
-        return sum([f[0] for f in found]), b"".join([f[1] for f in found])[1:], b"".join([f[2] for f in found])[1:]
+        words = raw.split()
+        if not words:
+            return 0, b"", b""
+        ids, labels = zip(*map(self.words.__getitem__, words))
+        ids = b"".join(ids)
+        return ids.count(b" "), ids[1:], b"".join(labels)[1:]
 
 
 _coders: dict[str, WordCoder] = {}
