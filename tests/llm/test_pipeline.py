@@ -7,7 +7,7 @@ import public_tokenizers
 from sievework.llm import mixing
 from tests.llm.test_divergence import prose
 from tests.llm.test_line_chunks import brute as brute_lines
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_near_copies import brute_representatives
 from tokenizers import Tokenizer
 
 
@@ -42,9 +42,8 @@ def test_equals_brute_force(spark, tmp_path):
     # near copies
     ids = sorted(r.doc_id for r in out)
     text = {r.doc_id: r.text for r in out}
-    groups = brute_components(ids, [brute_print(text[i]) for i in ids])
     left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(out, SCHEMA), "").collect()
-    assert sorted(r.doc_id for r in left) == sorted(set(groups.values()))
+    assert sorted(r.doc_id for r in left) == brute_representatives([(i, text[i]) for i in ids])
     # mixing
     source = {r.doc_id: r.source for r in left}
     chars = {s: sum(len(text[i]) for i in source if source[i] == s) for s in set(source.values())}
