@@ -143,7 +143,7 @@ def dedup_lines(docs: DataFrame, *, carry: list[str] | None = None, digests: boo
 
     def bodies(lists):
         told = lists.select(F.col("row").alias("told"), "runs")
-        cutting = texts.join(told, F.col("row") == F.col("told")).select("row", "text", "runs")
+        cutting = texts.join(told, F.col("row") == F.col("told")).drop("told")  # all columns, so that the shuffle is the same everywhere
         return cutting.mapInArrow(cut, "row long, start int, end int, other long, other_start int, body binary").withColumn("n", F.col("end") - F.col("start"))
 
     place = ["other", "other_start", "n"]
