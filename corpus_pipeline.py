@@ -29,9 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks go; ``n_chars`` follows the text."""
-    kept = dedup_lines(docs, carry=docs.columns)
+    kept = dedup_lines(docs, carry=[c for c in docs.columns if c not in ("text", "n_chars")])
     change = {"text": kept["text"], "n_chars": F.char_length(kept["text"]).cast("long")}
-    return kept.select(*[change.get(c, kept["rest"][c]).alias(c) for c in docs.columns])
+    return kept.select(*[(change[c] if c in change else kept["rest"][c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
