@@ -14,48 +14,46 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed pattern: a fenced block, with or without the word json.
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.DOTALL)
-
-
-def _open_brackets(text: str) -> tuple[list[tuple[int, str]], list[int]]:
-    """Positions where the text could be cut, each with the brackets still open there, from one pass.
-
-    A cut is possible outside strings, after a closed value or before a comma.
-    """
-    stack, cuts, inside, escaped = [], [], False, False
-    for i, c in enumerate(text):
-        if inside:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                inside = False
-                cuts.append((i + 1, "".join(reversed(stack))))
-            continue
-        if c == '"':
-            inside = True
-            continue
-        if c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack:
-            stack.pop()
-        if not c.isspace():
-            cuts.append((i + 1, "".join(reversed(stack))))
-    return cuts
+_OUTERMOST = re.compile(r"\{.*\}", re.DOTALL)
+#: JSON's tokens: a whole string, a number, a literal, a mark. A quote on its own opens a string that never ends.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|[][{}:,"]', re.DOTALL)
+_CLOSES = {"{": "}", "[": "]"}
+
+
+def _value_ends(body: str) -> list[tuple[int, tuple | None]]:
+    """Where the text could end: after tokens that can end a value, with the brackets open there as a chain ``(closer, the rest)``."""
+    ends, chain = [], None
+    for token in _TOKEN.finditer(body):
+        mark = token[0]
+        if mark == '"':
+            break
+        if mark in _CLOSES:
+            chain = (_CLOSES[mark], chain)
+        elif mark in "}]":
+            chain = chain and chain[1]
+        if mark not in ",:":
+            ends.append((token.end(), chain))
+    return ends
+
+
+def _loaded(text: str):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
 
 
 def repaired(text: str) -> dict | list | None:
     """The longest prefix from the first brace on that parses once its open brackets are closed."""
-    start = text.find("{")
-    if start < 0:
-        return None
-    body = text[start:].rstrip()
-    for cut, closers in reversed(_open_brackets(body)):
-        try:
-            return json.loads(body[:cut] + closers)
-        except ValueError:
-            continue
+    body = text[text.find("{") :] if "{" in text else ""
+    for end, chain in reversed(_value_ends(body)):
+        closers = ""
+        while chain:
+            closers, chain = closers + chain[0], chain[1]
+        if (found := _loaded(body[:end] + closers)) is not None:
+            return found
     return None
 
 
@@ -63,14 +61,11 @@ def extracted(text: str | None) -> dict | None:
     """The object in a response: inside a fence if there is one, between the outermost braces, else repaired."""
     if text is None:
         return None
-    body = m[1].strip() if (m := _FENCE.search(text)) else text.strip()
-    a, b = body.find("{"), body.rfind("}")
-    if 0 <= a < b:
-        try:
-            return json.loads(body[a : b + 1])
-        except ValueError:
-            pass
-    return repaired(body)
+    fenced = _FENCE.search(text)
+    body = fenced[1] if fenced else text
+    whole = _OUTERMOST.search(body)
+    found = _loaded(whole[0]) if whole else None
+    return repaired(body) if found is None else found
 
 
 def first_object(text: str | None) -> dict | None:

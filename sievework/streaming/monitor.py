@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-import math
-import statistics
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,54 +23,67 @@ def tail_json(spark: SparkSession, folder: str, schema: str, *, files_per_trigge
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
-class Guard:
-    """Warm-up, a calibration median, count windows of medians, patience; its state is a small JSON object."""
-
-    def __init__(self, policy: GuardPolicy, state: str | None = None):
-        self.policy = policy
-        fresh = {"last": None, "seen": 0, "calibration": [], "baseline": None, "losses": [], "gradients": [], "best": None, "bad": 0, "window": 0, "stopped": False}
-        self.s = json.loads(state) if state else fresh
-
-    def dump(self) -> str:
-        return json.dumps(self.s)
-
-    def observe(self, step: int, loss: float, gradient: float) -> dict | None:
-        """The verdict on a window that this step completes, or on a value that is not finite; steps must grow."""
-        s, p = self.s, self.policy
-        if s["last"] is not None and step <= s["last"]:
-            raise ValueError(f"step {step} does not come after {s['last']}")
-        s["last"] = step
-        if not (math.isfinite(loss) and math.isfinite(gradient)):
-            s["stopped"] = True
-            return self._row(step, None, None, None, False, "not_finite")
-        s["seen"] += 1
-        if s["seen"] <= p.warmup:
-            return None
-        if s["seen"] <= p.warmup + p.calibration:
-            s["calibration"].append(gradient)
-            if len(s["calibration"]) == p.calibration:
-                s["baseline"], s["calibration"] = max(statistics.median(s["calibration"]), 1e-12), []
-            return None
-        s["losses"].append(loss)
-        s["gradients"].append(gradient)
-        if len(s["losses"]) < p.window:
-            return None
-        low, steep = statistics.median(s["losses"]), statistics.median(s["gradients"])
-        clipped = sum(g > p.gradient_clip for g in s["gradients"]) / p.window
-        s["losses"], s["gradients"] = [], []
-        s["best"] = low if s["best"] is None else min(s["best"], low)
-        limit = max(1.5 * p.gradient_clip, p.gradient_ratio * s["baseline"])
-        bad = steep > limit and clipped >= p.clipped_fraction and low > p.loss_ratio * s["best"]
-        s["bad"] = s["bad"] + 1 if bad else 0
-        row = self._row(step, low, steep, clipped, bad, "sustained_growth" if s["bad"] >= p.patience else None)
-        s["window"] += 1
-        return row
-
-    def _row(self, step, loss, gradient, clipped, bad, reason) -> dict:
-        return {"step": step, "window": self.s["window"], "loss_median": loss, "gradient_median": gradient, "clipped": clipped, "unhealthy": bad, "bad_windows": self.s["bad"], "stop": reason is not None, "reason": reason}
+GUARD_ROWS = "log string, step long, window long, loss_median double, gradient_median double, clipped double, unhealthy boolean, bad_windows long, stop boolean, reason string"
+#: Fixed values of the guard: the least baseline, and the reasons it gives.
+LEAST_BASELINE = 1e-12
+GROWTH, NOT_FINITE = "sustained_growth", "not_finite"
 
 
-GUARD_ROWS = "log string, step long, window long, loss_median double, gradient_median double, clipped double, unhealthy boolean, bad_windows long, stop boolean, reason string"
+def judge(policy: GuardPolicy, log: str, rows: pd.DataFrame, state: dict | None = None) -> tuple[pd.DataFrame, dict]:
+    """N2 for the next ``(step, loss, gradient)`` rows of a log: verdicts, and the state for the rows after them.
+
+    Finite rows are numbered since the log began. Their numbers say which belong
+    to the warm-up, to the calibration and to which window; a window is judged
+    by array operations once its last row is there, and the rows of an
+    unfinished one are kept. A value that is not finite is reported at once and
+    takes no number. Steps must grow.
+    """
+    state = state or {"step": None, "rows": 0, "kept": [], "baseline": None, "best": None, "streak": 0}
+    rows = rows.sort_values("step", kind="stable")
+    step = rows["step"].to_numpy(np.int64)
+    known = step if state["step"] is None else np.r_[state["step"], step]
+    if (back := np.flatnonzero(np.diff(known) <= 0)).size:
+        raise ValueError(f"step {known[back[0] + 1]} does not come after {known[back[0]]}")
+    values = rows[["loss", "gradient"]].to_numpy(np.float64)
+    finite = np.isfinite(values).all(axis=1)
+    begin = policy.warmup + policy.calibration
+
+    # rows at hand: those kept, then the new finite ones; a column each for number, step, loss, gradient
+    numbers = state["rows"] + np.arange(finite.sum())
+    held = np.array([*state["kept"], *np.column_stack([numbers, step[finite], values[finite]]).tolist()], np.float64).reshape(-1, 4)
+    seen = state["rows"] + len(numbers)
+    baseline = state["baseline"]
+    if baseline is None and seen >= begin:
+        early = held[(held[:, 0] >= policy.warmup) & (held[:, 0] < begin), 3]
+        baseline = max(float(np.median(early)), LEAST_BASELINE) if len(early) else LEAST_BASELINE
+    first = int(held[held[:, 0] >= begin, 0].min() - begin) // policy.window if (held[:, 0] >= begin).any() else 0
+    ready = max(0, (seen - begin) // policy.window) - first
+    full = held[held[:, 0] >= begin][: max(0, ready) * policy.window].reshape(-1, policy.window, 4)
+
+    loss, gradient = np.median(full[:, :, 2], axis=1), np.median(full[:, :, 3], axis=1)
+    clipped = (full[:, :, 3] > policy.gradient_clip).mean(axis=1)
+    best = np.minimum.accumulate(loss if state["best"] is None else np.r_[state["best"], loss])[-len(loss) or len(loss) :]
+    limit = max(1.5 * policy.gradient_clip, policy.gradient_ratio * (baseline or 0.0))
+    bad = (gradient > limit) & (clipped >= policy.clipped_fraction) & (loss > policy.loss_ratio * best)
+    at = np.arange(len(bad))
+    healthy = np.maximum.accumulate(np.where(bad, -1, at)) if len(bad) else at
+    streak = np.where(healthy < 0, at + 1 + state["streak"], at - healthy)
+    ends = full[:, -1, 1].astype(np.int64)
+    stop = streak >= policy.patience
+    verdicts = pd.DataFrame({"step": ends, "window": first + at, "loss_median": loss, "gradient_median": gradient, "clipped": clipped, "unhealthy": bad, "bad_windows": streak, "stop": stop, "reason": np.where(stop, GROWTH, None)})
+
+    # rows that are not finite say how the windows before them stood
+    odd = step[~finite]
+    before = np.searchsorted(ends, odd)
+    standing = np.r_[state["streak"], streak].astype(np.int64)
+    errors = pd.DataFrame({"step": odd, "window": first + before, "loss_median": None, "gradient_median": None, "clipped": None, "unhealthy": False, "bad_windows": standing[before], "stop": True, "reason": NOT_FINITE})
+    parts = [p for p in (verdicts, errors) if len(p)]
+    out = pd.concat(parts).sort_values("step") if parts else verdicts
+    out.insert(0, "log", log)
+
+    low = policy.warmup if seen < begin else begin + (first + max(0, ready)) * policy.window
+    later = {"step": int(known[-1]) if len(known) else None, "rows": int(seen), "kept": held[held[:, 0] >= low].tolist(), "baseline": baseline, "best": float(best[-1]) if len(best) else state["best"], "streak": int(standing[-1])}
+    return out, later
 
 
 def guard_stream(stream: DataFrame, policy: GuardPolicy) -> DataFrame:
@@ -82,12 +94,10 @@ def guard_stream(stream: DataFrame, policy: GuardPolicy) -> DataFrame:
     """
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        guard = Guard(policy, state.get[0] if state.exists else None)
-        rows = pd.concat(list(frames)).sort_values("step")
-        out = [r for x in rows.itertuples() if (r := guard.observe(int(x.step), float(x.loss), float(x.gradient)))]
-        state.update((guard.dump(),))
-        if out:
-            yield pd.DataFrame([{"log": key[0], **r} for r in out])
+        out, later = judge(policy, key[0], pd.concat(list(frames)), json.loads(state.get[0]) if state.exists else None)
+        state.update((json.dumps(later),))
+        if len(out):
+            yield out
 
     return stream.groupBy("log").applyInPandasWithState(run, GUARD_ROWS, "state string", "append", "NoTimeout")
 

@@ -4,6 +4,7 @@ import json
 import random
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from sievework.functions import pixels, repair
@@ -158,18 +159,22 @@ def test_guard_batch_equals_stream_and_resumes(spark, tmp_path):
     df = spark.createDataFrame(rows, "log string, step long, loss double, gradient double")
     batch = {(r.log, r.window): (r.unhealthy, r.bad_windows, r.stop) for r in windows.stability_windows(df, ["log"], ["step"], "loss", "gradient", policy).collect()}
     assert any(s for *_, s in batch.values())
-    guard, got = None, {}
-    for log in ("bad", "good"):
-        state = None
-        for _, step, loss, gradient in [r for r in rows if r[0] == log]:
-            guard = monitor.Guard(policy, state)
-            if (r := guard.observe(step, loss, gradient)) is not None:
-                got[log, r["window"]] = (r["unhealthy"], r["bad_windows"], r["stop"])
-            state = guard.dump()
-    assert got == batch
+    for size in (1, 3, 17, 80):  # however the rows are cut into batches
+        got = {}
+        for log in ("bad", "good"):
+            state, mine = None, pd.DataFrame([r[1:] for r in rows if r[0] == log], columns=["step", "loss", "gradient"])
+            for at in range(0, 80, size):
+                out, state = monitor.judge(policy, log, mine[at : at + size], json.loads(json.dumps(state)))
+                got |= {(r.log, r.window): (r.unhealthy, r.bad_windows, r.stop) for r in out.itertuples()}
+                assert len(state["kept"]) < max(policy.window, policy.calibration)
+        assert got == batch
     with pytest.raises(ValueError, match="does not come after"):
-        guard.observe(3, 1.0, 1.0)
-    assert monitor.Guard(policy).observe(1, float("nan"), 1.0)["stop"]
+        monitor.judge(policy, "good", mine[3:4], state)
+    odd = pd.DataFrame([(100, float("nan"), 1.0), (101, 1.0, float("inf")), (102, 1.0, 1.0)], columns=["step", "loss", "gradient"])
+    out, after = monitor.judge(policy, "good", odd, state)
+    assert list(zip(out["step"], out["reason"], out["stop"], strict=True)) == [(100, "not_finite", True), (101, "not_finite", True)]
+    assert after["rows"] == state["rows"] + 1 and after["step"] == 102
+    assert monitor.judge(policy, "new", odd[:0])[1]["rows"] == 0
     files.write_sorted_json(df.filter("step < 37").coalesce(1), f"{tmp_path}/log")
     for part in (0, 1):  # the second run goes on from the checkpoint
         if part:
