@@ -10,27 +10,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATES = ("pending", "keep", "reject", "unsure")
 
 
+#: Revisions are numbered in blocks of this many; sums run inside a block, and over one row per block.
+BLOCK = 1 << 16
+
+
 def live_events(events: DataFrame) -> DataFrame:
     """K3: events that count. An undo takes back the last event not yet taken back, like closing brackets.
 
     Height is events minus undos so far; an event is taken back by the first
-    later undo that returns to the height below it.
+    later undo that returns to the height below it: the next mark on its level.
     """
     per = events.groupBy("revision").agg(F.max("undo").alias("undo"))
-    w = Window.orderBy("revision")  # one row per revision, written by one reviewer at a time
-    step = F.when(F.col("undo"), -1).otherwise(1)
-    heights = per.withColumn("height", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # the next revision at which the height falls below an event's own
-    level = F.when(F.col("undo"), F.col("height") + 1).otherwise(F.col("height"))
-    by_level = Window.partitionBy("level").orderBy("revision")
-    marked = heights.withColumn("level", level).withColumn("next_is_undo", F.lead("undo").over(by_level))
-    live = marked.filter(~F.col("undo") & ~F.coalesce(F.col("next_is_undo"), F.lit(False))).select("revision")
+    per = per.withColumns({"step": F.when(F.col("undo"), -1).otherwise(1), "block": F.expr(f"revision div {BLOCK}")})
+    sums = per.groupBy("block").agg(F.sum("step").alias("rise"))
+    below = sums.select("block", F.coalesce(F.sum("rise").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    inside = Window.partitionBy("block").orderBy("revision").rowsBetween(Window.unboundedPreceding, 0)
+    heights = per.join(below, "block").withColumn("height", F.col("below") + F.sum("step").over(inside))
+    marked = heights.select("revision", "undo", "block", (F.col("height") + F.col("undo").cast("int")).alias("level"))
+    on_level = Window.partitionBy("level", "block").orderBy("revision")
+    later = Window.partitionBy("level").orderBy("block")
+    next_block = marked.groupBy("level", "block").agg(F.min_by("undo", "revision").alias("first")).select("level", "block", F.lead("first").over(later).alias("next_block"))
+    told = marked.withColumn("next", F.lead("undo").over(on_level)).join(next_block, ["level", "block"])
+    live = told.filter(~F.col("undo") & ~F.coalesce("next", "next_block", F.lit(False))).select("revision")
     return events.filter(~F.col("undo")).join(live, "revision", "left_semi")
 
 
@@ -61,7 +68,12 @@ def violations(batch: DataFrame, pairs: DataFrame, state: DataFrame, seen: int |
     return out
 
 
-def next_events(batch: DataFrame, state: DataFrame, revision: int) -> DataFrame:
+def next_revision(events: DataFrame) -> Column:
+    """K2: the revision after the greatest one, as a scalar subquery."""
+    return events.agg(F.coalesce(F.max("revision"), F.lit(0)) + 1).scalar()
+
+
+def next_events(batch: DataFrame, state: DataFrame, revision: int | Column) -> DataFrame:
     """K1: the events a valid batch appends; a state other than keep clears the selection, a new state clears the reason, no-ops go."""
     old = state.select("pair_id", F.col("state").alias("_s"), F.col("selected").alias("_t"), F.col("reason").alias("_r"), F.col("note").alias("_n"))
     j = batch.join(old, "pair_id", "left")
@@ -71,7 +83,7 @@ def next_events(batch: DataFrame, state: DataFrame, revision: int) -> DataFrame:
     reason = F.coalesce("reason", F.when(after == before, F.coalesce("_r", F.lit(""))).otherwise(""))
     note = F.coalesce("note", "_n", F.lit(""))
     same = (after == before) & (selected == F.coalesce("_t", F.lit(False))) & (reason == F.coalesce("_r", F.lit(""))) & (note == F.coalesce("_n", F.lit("")))
-    return j.filter(~same).select(F.lit(revision).cast("long").alias("revision"), "pair_id", after.alias("state"), selected.alias("selected"), reason.alias("reason"), note.alias("note"), F.lit(False).alias("undo"))
+    return j.filter(~same).select((revision if isinstance(revision, Column) else F.lit(revision)).cast("long").alias("revision"), "pair_id", after.alias("state"), selected.alias("selected"), reason.alias("reason"), note.alias("note"), F.lit(False).alias("undo"))
 
 
 def summary(pairs: DataFrame, state: DataFrame, states: Sequence[str] = STATES) -> DataFrame:

@@ -158,7 +158,7 @@ def disjoint_pairs(t):
     return splits.disjoint_pairs(_docs(t), "source", "content")
 
 
-@query("exact_cover", "select count(*) - count(distinct doc_id) as repeated, 0::bigint as outside, 0::bigint as missing from documents")
+@query("exact_cover", "with n as (select count(*) as n from documents) select count(*) - count(distinct doc_id) as repeated, count(*) filter (where doc_id < 0 or doc_id >= n) as outside, any_value(n) - count(distinct case when doc_id between 0 and n - 1 then doc_id end) as missing from documents, n")
 def exact_cover(t):
     n = t.documents.agg(F.count("*").alias("n"))
     return splits.exact_cover(t.documents.select("doc_id").join(F.broadcast(n)), "doc_id", F.col("n"))

@@ -89,7 +89,10 @@ def greedy_near_duplicates(t):
     return dedup.greedy_over_all(t.embeddings, "vec_id", "embedding", 0.9)
 
 
-@query("selection_violations", "select 'repeated' as rule, 1::bigint as n union all select 'unknown', 1 union all select 'identity', count(*) from documents where doc_id % 10 = 3 and source <> 'src3'")
+@query("selection_violations", """with d as (select doc_id, source, case when doc_id % 5 = 0 then 'val' else 'train' end as split from documents),
+  s as (select doc_id, case when doc_id % 10 = 3 then 'src3' else source end as source from d where doc_id % 10 in (0, 3) union all select 0, (select source from d where doc_id = 0) union all select -5, 'x'),
+  j as (select s.doc_id, s.source, d.doc_id as known, d.source as own from s left join d using (doc_id)),
+  r as (select 'repeated' as rule, count(*) - count(distinct doc_id) as n from s union all select 'unknown', count(*) from j where known is null union all select 'identity', count(*) from j where known is not null and source is distinct from own) select rule, n from r where n > 0""")
 def selection_violations(t):
     d = t.documents.select("doc_id", "source", F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train").alias("split"))
     s = d.filter("doc_id % 10 in (0, 3)").select("doc_id", F.when(F.col("doc_id") % 10 == 3, "src3").otherwise(F.col("source")).alias("source"))

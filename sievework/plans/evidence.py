@@ -94,13 +94,13 @@ def json_repair(t):
     return t.events.select("event_id", F.get_json_object(repair.read_json(broken), "$.k").cast("int").alias("k"))
 
 
-EVENTS = "e as (select event_id + 1 as revision, user_id as pair_id, case event_id % 4 when 0 then 'keep' when 1 then 'reject' when 2 then 'unsure' else 'keep' end as state, event_id % 4 = 3 as selected, event_id % 5 = 4 as undo from events where event_id < 500)"
+EVENTS = "e as (select event_id + 1 as revision, user_id as pair_id, case event_id % 4 when 0 then 'keep' when 1 then 'reject' when 2 then 'unsure' else 'keep' end as state, event_id % 4 = 3 as selected, event_id % 5 = 4 as undo from events)"
 
 
 def _events(t):
     e = F.col("event_id")
     state = F.when(e % 4 == 1, "reject").when(e % 4 == 2, "unsure").otherwise("keep")
-    return t.events.filter(e < 500).select((e + 1).alias("revision"), F.col("user_id").alias("pair_id"), state.alias("state"), (e % 4 == 3).alias("selected"), F.lit("").alias("reason"), F.lit("").alias("note"), (e % 5 == 4).alias("undo"))
+    return t.events.select((e + 1).alias("revision"), F.col("user_id").alias("pair_id"), state.alias("state"), (e % 4 == 3).alias("selected"), F.lit("").alias("reason"), F.lit("").alias("note"), (e % 5 == 4).alias("undo"))
 
 
 LIVE = f"{EVENTS}, h as (select *, sum(case when undo then -1 else 1 end) over (order by revision) as height from e), l as (select h.* from h where not undo and not exists (select 1 from h u where u.undo and u.revision > h.revision and u.height < h.height)), c as (select * from l qualify row_number() over (partition by pair_id order by revision desc) = 1)"
@@ -145,6 +145,7 @@ def ledger_violations(t):
 
 
 @query("ledger_next_events", f"""with {LIVE}, {PAIRS}, {BATCH}, j as (select b.pair_id, coalesce(state, 'pending') as bs, coalesce(ns, state, 'pending') as af, coalesce(sel, selected, false) as s, coalesce(selected, false) as os, case when b.pair_id % 6 = 0 then 'seen' else '' end as note from b left join c using (pair_id))
-  select 501::bigint as revision, pair_id, af as state, (s and af = 'keep') as selected, note from j where not (af = bs and (s and af = 'keep') = os and note = '')""")
+  select (select max(revision) + 1 from e) as revision, pair_id, af as state, (s and af = 'keep') as selected, note from j where not (af = bs and (s and af = 'keep') = os and note = '')""")
 def ledger_next_events(t):
-    return ledger.next_events(_batch(t), ledger.current(_events(t)), 501).select("revision", "pair_id", "state", "selected", "note")
+    events = _events(t)
+    return ledger.next_events(_batch(t), ledger.current(events), ledger.next_revision(events)).select("revision", "pair_id", "state", "selected", "note")

@@ -194,12 +194,12 @@ def knn_l1(t):
     return vector.nearest(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 3).select("query", "row")
 
 
-@query("diversity_matrix", """select label, avg(d) as diversity, count(*) as pairs from (select a.label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::double - x[2]::double))) / len(a.embedding) as d from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id and b.vec_id % 20 = 0) group by 1""")
+@query("diversity_matrix", """select a.label, round(avg(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::double - x[2]::double))) / len(a.embedding)), 9) as diversity, count(*) as pairs from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id group by 1""")
 def diversity_matrix(t):
-    a = t.embeddings.select("label", "vec_id", "embedding")
-    b = t.embeddings.filter("vec_id % 20 = 0").select(F.col("label").alias("l2"), F.col("vec_id").alias("v2"), F.col("embedding").alias("e2"))  # the stated queries
-    j = a.join(b, (F.col("label") == F.col("l2")) & (F.col("vec_id") < F.col("v2")))
-    return j.groupBy("label").agg(F.avg(vector.mean_abs_difference("embedding", "e2")).alias("diversity"), F.count("*").alias("pairs"))
+    """The mean over all pairs of a label, from sorted sums of each dimension."""
+    e = t.embeddings.select("label", F.posexplode("embedding").alias("dim", "x"))
+    gaps = vector.mean_pair_gap(e, ["label", "dim"], "x")
+    return gaps.groupBy("label").agg(F.round(F.avg("gap"), 9).alias("diversity"), F.first("pairs").alias("pairs"))
 
 
 @query("unit_vectors", "select vec_id, list_transform(embedding, lambda x: x::double / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 1e-12))[1] as first from embeddings")
@@ -225,10 +225,17 @@ def structure_correlation(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 9).alias("r"))
 
 
-@query("perceptual_hash_retrieval", """with h as (select vec_id, label, list_sum(list_transform(range(1, 65), lambda i: case when embedding[i]::double > list_avg(list_transform(embedding, lambda e: e::double)) then 1 else 0 end)) as ones from embeddings) select label, sum(ones)::bigint as ones from h group by 1""")
+CODE = "list_reduce(list_prepend(0::ubigint, list_transform(range(1, 65), lambda i: case when {v}[i]::double > list_avg(list_transform({v}, lambda e: e::double)) then 1::ubigint else 0::ubigint end)), lambda s, x: ((s & 9223372036854775807) << 1) | x)"
+
+
+@query("perceptual_hash_retrieval", f"""with v as (select vec_id, embedding, list_transform(embedding, lambda x: round(x::double, 1)) as coarse from embeddings), h as (select vec_id, {CODE.format(v='embedding')} as code, {CODE.format(v='coarse')} as asked from v),
+  d as (select q.vec_id as query, r.vec_id as row, bit_count(xor(q.asked, r.code))::int as distance from h q, h r where q.vec_id % 20 = 0), n as (select * from d qualify row_number() over (partition by query order by distance, row) = 1)
+  select query, row, distance, row = query as hit from n""")
 def perceptual_hash_retrieval(t):
-    h = t.embeddings.select("label", F.bit_count(vector.sign_hash("embedding")).alias("ones"))
-    return h.groupBy("label").agg(F.sum("ones").alias("ones"))
+    """Each query's hash is taken from its vector rounded to one decimal; the nearest stored hash should be its own."""
+    e = t.embeddings.select("vec_id", vector.sign_hash("embedding").alias("code"))
+    q = t.embeddings.filter("vec_id % 20 = 0").select("vec_id", vector.sign_hash(F.transform("embedding", lambda x: F.round(x.cast("double"), 1))).alias("code"))
+    return vector.hamming_retrieval(q, e, "vec_id", "code").withColumn("hit", F.col("row") == F.col("query"))
 
 
 @query("bootstrap_ci", """with m as (select l_returnflag as grp, l_suppkey as cluster, avg(l_quantity) as mean from lineitem group by all), r as (select grp, mean, row_number() over (partition by grp order by cluster) - 1 as i from m),
@@ -281,12 +288,11 @@ def metric_matrix(t):
     return t.lineitem.groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_tax"))
 
 
-@query("pairwise_response", """with a as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity from lineitem where l_partkey % 50 = 0) select x.l_partkey, x.l_linenumber, count(*) as pairs, avg(abs(x.l_quantity - y.l_quantity)) as response from a x join a y on x.l_partkey = y.l_partkey and x.l_linenumber = y.l_linenumber and x.l_orderkey < y.l_orderkey group by all""")
+@query("pairwise_response", """with a as (select row_number() over (order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) as i, l_partkey, l_quantity from lineitem) select x.l_partkey, count(*) as pairs, round(avg(abs(x.l_quantity - y.l_quantity)), 9) as response from a x join a y on x.l_partkey = y.l_partkey and x.i < y.i group by all""")
 def pairwise_response(t):
-    a = t.lineitem.filter("l_partkey % 50 = 0").select("l_partkey", "l_linenumber", "l_orderkey", "l_quantity")  # the texts that are asked in several ways
-    b = a.select(F.col("l_partkey").alias("p2"), F.col("l_linenumber").alias("n2"), F.col("l_orderkey").alias("o2"), F.col("l_quantity").alias("q2"))
-    j = a.join(b, (F.col("l_partkey") == F.col("p2")) & (F.col("l_linenumber") == F.col("n2")) & (F.col("l_orderkey") < F.col("o2")))
-    return j.groupBy("l_partkey", "l_linenumber").agg(F.count("*").alias("pairs"), F.avg(F.abs(F.col("l_quantity") - F.col("q2"))).alias("response"))
+    """The rows of a part stand for one text that was asked in several ways."""
+    gaps = vector.mean_pair_gap(t.lineitem, ["l_partkey"], "l_quantity").filter("pairs > 0")
+    return gaps.select("l_partkey", "pairs", F.round("gap", 9).alias("response"))
 
 
 @query("response_magnitude", """with x as (select user_id, avg(value) filter (where event_type = 'view') as a, avg(value) filter (where event_type = 'click') as b from events group by 1) select avg(abs(a - b)) as magnitude, avg((a = b)::int) as equal_share from x where a is not null and b is not null""")
@@ -314,6 +320,6 @@ def asset_registry(t):
     return t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("archives"), (F.count_distinct("o_orderpriority") > 1).alias("conflict"))
 
 
-@query("normalized_texts", "select conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as text from conversations where not regexp_matches(text, '[^ -~\\n]')")
+@query("normalized_texts", "select conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as text from conversations")
 def normalized_texts(t):
-    return t.conversations.filter(~F.col("text").rlike(r"[^ -~\n]")).select("conv_id", "turn", normalize("text").alias("text"))
+    return t.conversations.select("conv_id", "turn", normalize("text").alias("text"))

@@ -69,9 +69,9 @@ def quota_selection(t):
     return S.by_quota(t.documents.select("doc_id", "lang", (F.col("n_chars") > 1000).alias("big")), F.broadcast(q), ["lang", "big"], ["doc_id"])
 
 
-@query("quota_shortfall", "select 'xx' as lang, 3 as quota, 0::bigint as have")
+@query("quota_shortfall", "with q(lang, quota) as (values ('en', 7), ('de', 100000000), ('xx', 3)), h as (select q.lang, q.quota, count(d.lang) as have from q left join documents d using (lang) group by all) select lang, quota, have from h where have < quota")
 def quota_shortfall(t):
-    q = t.spark.createDataFrame([("en", 7), ("xx", 3)], "lang string, quota int")
+    q = t.spark.createDataFrame([("en", 7), ("de", 100000000), ("xx", 3)], "lang string, quota int")
     return S.quota_shortfall(t.documents, q, ["lang"])
 
 

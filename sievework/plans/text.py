@@ -10,7 +10,6 @@ from .registry import query
 COLORS, FORMS = ["red", "blue"], ["ring", "bolt", "rod", "plate", "gear"]
 IDENT = "p_brand || '_' || p_name || '__' || p_type || '.' || p_size || '_' || p_type"
 CAMEL = "'item.' || upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || p_type || upper(p_name[1]) || 'ab' || p_size || '.png'"
-LONG = "substr(text, 1, 300)"
 
 
 def _parts(t):
@@ -48,9 +47,9 @@ def type_words(t):
     return t.part.select("p_partkey", X.type_word(F.when(F.lower("p_type").startswith("pro"), "Item.X").otherwise(F.col("p_type"))).alias("word"))
 
 
-@query("label_validation", f"select doc_id, regexp_matches(lower({LONG}), '\\bthes?\\b') and regexp_matches(lower({LONG}), '\\bofs?\\b') and regexp_matches(lower({LONG}), '\\bands?\\b') as valid from documents")
+@query("label_validation", f"select doc_id, regexp_matches(lower(text), '\\bthes?\\b') and regexp_matches(lower(text), '\\bofs?\\b') and regexp_matches(lower(text), '\\bands?\\b') as valid from documents")
 def label_validation(t):
-    return t.documents.select("doc_id", X.label_valid(F.substring("text", 1, 300), F.array(F.lit("the"), F.lit("of")), F.lit("and")).alias("valid"))
+    return t.documents.select("doc_id", X.label_valid("text", F.array(F.lit("the"), F.lit("of")), F.lit("and")).alias("valid"))
 
 
 @query("parse_names", """with a as (select p_partkey, string_split(p_name, ' ') || [lower(p_type), 'hot', 'hot'] as k from part)
@@ -90,15 +89,14 @@ def strip_boilerplate(t):
     return t.part.select("p_partkey", X.strip_boilerplate(v, ["icon art"]).alias("text"))
 
 
-@query("remove_word", f"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace({LONG}, '\\bthe\\b', '', 'gi'), '\\s+', ' ', 'g'), '\\s+([,.;])', '\\1', 'g')) as text from documents where lang = 'en' and not regexp_matches({LONG}, '[^ -~\\n]')")
+@query("remove_word", f"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\\bthe\\b', '', 'gi'), '\\s+', ' ', 'g'), '\\s+([,.;])', '\\1', 'g')) as text from documents")
 def remove_word(t):
-    d = t.documents.filter("lang = 'en'").withColumn("s", F.substring("text", 1, 300)).filter(~F.col("s").rlike(r"[^ -~\n]"))
-    return d.select("doc_id", X.remove_word("s", "the").alias("text"))
+    return t.documents.select("doc_id", X.remove_word("text", "the").alias("text"))
 
 
-@query("token_sets", f"select doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower({LONG}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))), ' ') as tokens from documents")
+@query("token_sets", f"select doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))), ' ') as tokens from documents")
 def token_sets(t):
-    return t.documents.select("doc_id", F.array_join(X.token_set(F.substring("text", 1, 300)), " ").alias("tokens"))
+    return t.documents.select("doc_id", F.array_join(X.token_set("text"), " ").alias("tokens"))
 
 
 RULES = {"metal": ["bolt", "gear", " rod"], "flat": ["plate", "ring"], "tint": ["red ", "blue "]}
