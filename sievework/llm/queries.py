@@ -35,15 +35,7 @@ def op2_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir))
-    return mixed.select(
-        "doc_id",
-        "source",
-        F.col("_copy").alias("copy_no"),
-        F.col("_copies").alias("copies"),
-        F.round("_rate", 6).alias("rate"),
-        F.col("_shuffle_key").alias("shuffle_key"),
-        F.sha2("text", 256).alias("text_sha256"),
-    )
+    return mixed.select("rest.doc_id", "rest.source", F.col("copy").alias("copy_no"), "copies", F.round("rate", 6).alias("rate"), "shuffle_key", F.sha2("rest.text", 256).alias("text_sha256"))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +100,13 @@ with sizes as (
     ('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint::double / 4503599627370496.0 as u
   from documents
 ), counted as (
-  select d.doc_id, d.source, d.text, count(s.k)::int as copies
+  select d.doc_id, d.source, d.text, count(s.k) as copies
   from draws d left join steps s on s.source is not distinct from d.source and s.step <= d.u group by all
 ), copied as (
-  select *, unnest(range(1, copies + 1))::int as copy_no from counted where copies > 0
+  select *, unnest(range(1, copies + 1)) as copy_no from counted where copies > 0
 )
 select c.doc_id, c.source, c.copy_no, c.copies, round(r.rate, 6) as rate,
-  md5('mix-1-order:' || coalesce(c.doc_id::varchar, '') || ':' || c.copy_no::varchar) as shuffle_key, sha256(c.text) as text_sha256
+  md5('mix-1-order:' || coalesce(c.doc_id::varchar, '') || ':' || md5(coalesce(c.text, '')) || ':' || c.copy_no::varchar) as shuffle_key, sha256(c.text) as text_sha256
 from copied c join rates r on r.source is not distinct from c.source
 """
 
