@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from typing import NamedTuple
 
 import ahocorasick
@@ -23,6 +24,9 @@ from .common import id_and_text, map_slices, raw_texts
 UNIT = 64
 RATE = 8000
 UNKNOWN = "application/octet-stream"
+# Marks that end an item or lie inside it.
+PDF, PDF_TABLE, PDF_END = b"%PDF-", b"startxref", b"%%EOF"
+ZIP_END, JPEG_END = b"PK\x05\x06", b"\xff\xd9"
 
 
 class Item(NamedTuple):
@@ -35,9 +39,53 @@ def _u(data: bytes, at: int, n: int, order: str) -> int:
     return int.from_bytes(data[at : at + n], order) if at + n <= len(data) else -1
 
 
-def _png(data: bytes, at: int) -> int | None:
+class Marks:
+    """What one pass of the automaton found in a value, by pattern; and where walks of a format's structure came to nothing.
+
+    Walks of one format that meet at a place go on alike, so one that reaches a
+    place where another failed fails too: all walks of a value together visit
+    each place once.
+    """
+
+    def __init__(self, size: int):
+        self.at: dict[bytes, list[int]] = {}
+        self.size = size
+        self.failed: set[tuple] = set()
+        self.walk: list[tuple] = []
+        self._zips: dict[int, int] | None = None
+
+    def enter(self, *place) -> bool:
+        """Notes a place of the walk; False if it is known to lead nowhere."""
+        if place in self.failed:
+            return False
+        self.walk.append(place)
+        return True
+
+    def first(self, mark: bytes, low: int) -> int:
+        found = self.at.get(mark, [])
+        k = bisect_left(found, low)
+        return found[k] if k < len(found) else -1
+
+    def last(self, mark: bytes, low: int, high: int) -> int:
+        found = self.at.get(mark, [])
+        k = bisect_left(found, high) - 1
+        return found[k] if k >= 0 and found[k] >= low else -1
+
+    def zip_ends(self, data: bytes) -> dict[int, int]:
+        """Where archives begin by what their end records say, and where these end; of several the last."""
+        if self._zips is None:
+            self._zips = {}
+            for end in self.at.get(ZIP_END, []):
+                note = _u(data, end + 20, 2, "little")
+                begin = end - _u(data, end + 12, 4, "little") - _u(data, end + 16, 4, "little")
+                if 0 <= begin and note >= 0 and end + 22 + note <= len(data):
+                    self._zips[begin] = end
+        return self._zips
+
+
+def _png(data: bytes, at: int, marks: Marks) -> int | None:
     p, first = at + 8, True
-    while p + 12 <= len(data):
+    while p + 12 <= len(data) and marks.enter("png", p, first):
         n, kind = _u(data, p, 4, "big"), data[p + 4 : p + 8]
         if p + 12 + n > len(data) or (first and (kind != b"IHDR" or n != 13)):
             return None
@@ -49,11 +97,11 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(data: bytes, at: int, marks: Marks) -> int | None:
     if at + 13 > len(data):
         return None
     p = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0)
-    while p < len(data):
+    while p < len(data) and marks.enter("gif", p):
         mark = data[p]
         if mark == 0x3B:
             return p + 1
@@ -64,21 +112,23 @@ def _gif(data: bytes, at: int) -> int | None:
         else:
             return None
         while p < len(data) and data[p]:
+            if not marks.enter("gif block", p):
+                return None
             p += 1 + data[p]
         p += 1
     return None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
-    p, frames = at + 2, 0
-    while p + 4 <= len(data) and data[p] == 0xFF:
+def _jpeg(data: bytes, at: int, marks: Marks) -> int | None:
+    p, frame = at + 2, False
+    while p + 4 <= len(data) and data[p] == 0xFF and marks.enter("jpeg", p, frame):
         mark = data[p + 1]
         if mark == 0xDA:
-            end = data.find(b"\xff\xd9", p)
-            return end + 2 if end >= 0 and frames else None
+            end = marks.first(JPEG_END, p)
+            return end + 2 if end >= 0 and frame else None
         if mark in (0x00, 0x01, 0xFF) or 0xD0 <= mark <= 0xD9:
             return None
-        frames += 0xC0 <= mark <= 0xC2
+        frame = frame or 0xC0 <= mark <= 0xC2
         n = _u(data, p + 2, 2, "big")
         if n < 2:
             return None
@@ -86,13 +136,13 @@ def _jpeg(data: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(data: bytes, at: int, marks: Marks) -> int | None:
     size, pixels, header = _u(data, at + 2, 4, "little"), _u(data, at + 10, 4, "little"), _u(data, at + 14, 4, "little")
     good = data[at + 6 : at + 10] == bytes(4) and header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= pixels <= size and at + size <= len(data)
     return at + size if good else None
 
 
-def _riff(data: bytes, at: int) -> int | None:
+def _riff(data: bytes, at: int, marks: Marks) -> int | None:
     size = _u(data, at + 4, 4, "little")
     end = at + 8 + size
     if size < 4 or end > len(data):
@@ -110,22 +160,24 @@ def _riff(data: bytes, at: int) -> int | None:
     return end if need and need <= set(kinds) else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and data[at + 5 : at + 6].isdigit() and data.find(b"startxref", at, end) >= 0 else None
+def _pdf(data: bytes, at: int, marks: Marks) -> int | None:
+    """To the last end mark before the next document begins: an update in place adds further ones."""
+    after = marks.first(PDF, at + 1)
+    end = marks.last(PDF_END, at, after if after >= 0 else len(data))
+    table = marks.first(PDF_TABLE, at)
+    return end + 5 if end >= 0 and data[at + 5 : at + 6].isdigit() and 0 <= table < end else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
+def _zip(data: bytes, at: int, marks: Marks) -> int | None:
+    """An end record names where its archive begins, so an archive stored inside doesn't end the outer one."""
+    end = marks.zip_ends(data).get(at)
+    if end is None:
         return None
-    size, start = _u(data, end + 12, 4, "little"), _u(data, end + 16, 4, "little")
-    note = _u(data, end + 20, 2, "little")
-    good = at + start + size == end and data[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(data)
-    return end + 22 + note if good else None
+    start = _u(data, end + 16, 4, "little")
+    return end + 22 + _u(data, end + 20, 2, "little") if data[at + start : at + start + 4] == b"PK\x01\x02" else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
+def _gzip(data: bytes, at: int, marks: Marks) -> int | None:
     if _u(data, at + 2, 1, "little") != 8 or _u(data, at + 3, 1, "little") > 31:
         return None
     unpack, p = zlib.decompressobj(31), at
@@ -138,9 +190,9 @@ def _gzip(data: bytes, at: int) -> int | None:
     return min(p, len(data)) - len(unpack.unused_data) if unpack.eof else None
 
 
-def _ogg(data: bytes, at: int) -> int | None:
+def _ogg(data: bytes, at: int, marks: Marks) -> int | None:
     p = at
-    while data[p : p + 4] == b"OggS" and p + 27 <= len(data):
+    while data[p : p + 4] == b"OggS" and p + 27 <= len(data) and marks.enter("ogg", p):
         n = data[p + 26]
         body = p + 27 + n
         end = body + sum(data[p + 27 : body])
@@ -152,9 +204,9 @@ def _ogg(data: bytes, at: int) -> int | None:
     return None
 
 
-def _flac(data: bytes, at: int) -> int | None:
+def _flac(data: bytes, at: int, marks: Marks) -> int | None:
     p, first = at + 4, True
-    while p + 4 <= len(data):
+    while p + 4 <= len(data) and marks.enter("flac", p, first):
         head, n = data[p], _u(data, p + 1, 3, "big")
         if first and (head & 0x7F or n != 34):
             return None
@@ -172,7 +224,7 @@ MAGIC = {
     b"\xff\xd8\xff": ("image/jpeg", _jpeg),
     b"BM": ("image/bmp", _bmp),
     b"RIFF": ("riff", _riff),
-    b"%PDF-": ("application/pdf", _pdf),
+    PDF: ("application/pdf", _pdf),
     b"PK\x03\x04": ("application/zip", _zip),
     b"\x1f\x8b": ("application/gzip", _gzip),
     b"OggS": ("audio/ogg", _ogg),
@@ -186,8 +238,8 @@ _automaton: list = []
 def automaton():
     if not _automaton:
         a = ahocorasick.Automaton()
-        for magic, (kind, check) in MAGIC.items():
-            a.add_word(magic.decode("latin-1"), (len(magic), kind, check))
+        for word in (*MAGIC, PDF_TABLE, PDF_END, ZIP_END, JPEG_END):
+            a.add_word(word.decode("latin-1"), word)
         a.make_automaton()
         _automaton.append(a)
     return _automaton[0]
@@ -195,23 +247,24 @@ def automaton():
 
 def items(data: bytes) -> list[Item]:
     """The valid item at offset 0, if any, and the valid, non-overlapping items at later offsets."""
-    out, free, hopeless = [], 1, {}
-    for last, (n, kind, check) in automaton().iter(data.decode("latin-1")):
-        start = last - n + 1
-        if (start and start < free) or hopeless.get(check):
+    marks = Marks(len(data))
+    for last, word in automaton().iter(data.decode("latin-1")):
+        marks.at.setdefault(word, []).append(last - len(word) + 1)
+    starts = sorted((at, word) for word in MAGIC for at in marks.at.get(word, ()))
+    out, free = [], 1
+    for start, word in starts:
+        if start and start < free:
             continue
-        end = check(data, start)
+        kind, check = MAGIC[word]
+        marks.walk.clear()
+        end = check(data, start, marks)
         if end is None:
-            # without its end mark anywhere further on, no later start of the format can be valid
-            hopeless[check] = check in _END_MARK and data.find(_END_MARK[check], start) < 0
+            marks.failed.update(marks.walk)
             continue
         out.append(Item(RIFF_KINDS.get(data[start + 8 : start + 12], kind) if kind == "riff" else kind, start, end))
         if start:
             free = end
-    return sorted(out, key=lambda x: x.start)
-
-
-_END_MARK = {_pdf: b"%%EOF", _zip: b"PK\x05\x06", _jpeg: b"\xff\xd9", _png: b"IEND", _gif: b"\x3b"}
+    return out
 
 
 def to_wave(payload: bytes, rate: int = RATE) -> bytes:

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -36,8 +37,30 @@ def test_types_and_carving():
 
 
 def test_hostile_input_is_linear():
-    for part in (b"%PDF-1", b"PK\x03\x04", b"BM", b"RIFF", b"GIF89a", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff"):
-        media.items(part * 40_000)
+    """Many starts, with and without an end mark far behind them; four times the length takes no sixteen times as long."""
+    jpeg = b"\xff\xd8\xff\xe0\x00\x02"
+    parts = [(b"%PDF-1", b"startxref%%EOF"), (b"PK\x03\x04", b"PK\x05\x06" + bytes(18)), (b"BM", b""), (b"RIFF", b""), (b"RIFF\x40\x00\x00\x00", b""), (b"GIF89a", b"\x3b"), (b"GIF89a" + bytes(7) + b"!\xf9\x01\x00\x00", b""), (b"\x89PNG\r\n\x1a\n", b"IEND"), (jpeg, b"\xff\xd9"), (jpeg[:4] + b"\x00\x04", b"\xff\xda\xff\xd9"), (b"OggS" + bytes(22) + b"\x01\x00", b"")]
+    for part, end in parts:
+        times = []
+        for n in (10_000, 40_000):
+            data = part * n + end
+            began = time.process_time()
+            media.items(data)
+            times.append(time.process_time() - began)
+        assert times[1] < 8 * times[0] + 0.5, (part, times)
+
+
+def test_updated_documents_and_nested_archives():
+    body = samples()["application/pdf"]
+    updated = body + b"\n2 0 obj\nendobj\nstartxref\n44\n%%EOF"
+    assert media.items(updated) == [media.Item("application/pdf", 0, len(updated))]
+    assert [x.end - x.start for x in media.items(b".." + updated + b"\n" + body)] == [len(updated), len(body)]
+    inner, outer = samples()["application/zip"], io.BytesIO()
+    with zipfile.ZipFile(outer, "w", zipfile.ZIP_STORED) as f:
+        f.writestr("inner.zip", inner)
+    whole = outer.getvalue()
+    assert media.items(b"x" + whole) == [media.Item("application/zip", 1, 1 + len(whole))]
+    assert media.items(whole)[0] == media.Item("application/zip", 0, len(whole))
 
 
 def test_wave_is_a_wave():
