@@ -102,6 +102,8 @@ class Machine:
         """Logistic loss, AdaGrad; deterministic for a given order of documents."""
         rnd = np.random.default_rng(seed)
         n = buckets + STATISTICS
+        if not len(documents):
+            return cls(0.0, np.zeros(n, np.float32), np.zeros((n, factors), np.float32))
         machine = cls(0.0, np.zeros(n, np.float32), rnd.normal(0, 0.02, (n, factors)).astype(np.float32))
         seen_w, seen_v, seen_b = np.full(n, 1e-6, np.float32), np.full((n, factors), 1e-6, np.float32), 1e-6
         order = rnd.permutation(len(documents))
@@ -146,12 +148,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
     """Learns from at most ``max_train`` labelled rows outside the held-out third.
 
     Rows without id or label teach nothing; of several labels of one id the
-    greatest counts. Without any such row the machine scores all texts alike.
+    greatest counts, of several texts the least. So the driver gets
+    ``max_train`` rows at most. Without any such row every text scores 0.5.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels[label_col].cast("int").alias("label")).filter("label_id is not null and label is not null")
     known = known.filter(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_train)
-    rows = id_and_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")
+    rows = id_and_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
 
     def make():
         features = Features(buckets)

@@ -48,3 +48,20 @@ def test_held_out_accuracy_and_edges(spark):
     again = {r.doc_id: r.score for r in score_quality(df, fit_quality(df, flipped)).collect()}
     assert again == {r.doc_id: r.score for r in got}  # held-out labels are not learned
     assert score_quality(df.limit(0), fit_quality(df.limit(0), lab)).count() == 0
+
+
+def test_without_labels_and_with_repeated_ids(spark):
+    rows = [(i, f"text {i} " * (1 + 40_000 * (i == 3)), "l") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in score_quality(df, fit_quality(df, none)).collect()} == {0.5}
+    one = spark.createDataFrame([(2, 1), (2, 0)], "doc_id long, quality int")
+    repeated = df.union(spark.createDataFrame([(2, f"again {i}", "l") for i in range(500)], df.schema))
+    seen = []
+    fit = Machine.fit
+    Machine.fit = classmethod(lambda cls, documents, labels, **k: seen.append((len(documents), list(labels))) or fit.__func__(cls, documents, labels, **k))
+    try:
+        fit_quality(repeated, one)
+    finally:
+        Machine.fit = fit
+    assert seen == [(1, [1])]
