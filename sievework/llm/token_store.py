@@ -142,8 +142,10 @@ class TokenStore:
     def lookup(self, keys: DataFrame, id_col: str = "doc_id", *, digests: bool = False) -> DataFrame:
         """The stored ids of each key row, and how many ids come before them in the whole store.
 
-        A key that is not stored comes back with nulls. With ``digests`` the
-        ids are replaced by the CRC-32 of their 32-bit form.
+        Every key row is answered: the k-th ask for an id gets its k-th stored
+        document, and after the last one the first again. A key that is not
+        stored comes back with nulls. With ``digests`` the ids are replaced by
+        the CRC-32 of their 32-bit form.
         """
         store = self
         bounds = np.asarray(self.bounds, np.int64)
@@ -172,9 +174,14 @@ class TokenStore:
     def _read_shard(self, shard: int, asked: pa.Array, digests: bool):
         filled = _filled(asked)
         order = np.argsort(filled, kind="stable")
-        keys = keys_of(filled[order], occurrences(filled[order]))
+        ids, ask = filled[order], occurrences(filled[order])
         with Shard(self.paths[shard]) as file:
-            slot = file.index.slots(keys)
+            slot = file.index.slots(keys_of(ids, ask))
+            if (over := (slot < 0) & (ask > 0)).any():  # asked more often than stored
+                first = np.flatnonzero(ask == 0)
+                stored = np.add.reduceat((slot >= 0).astype(np.int64), first)[np.cumsum(ask == 0) - 1]
+                again = over & (stored > 0)
+                slot[again] = file.index.slots(keys_of(ids[again], ask[again] % stored[again]))
             for at in range(0, len(order), 1024):
                 take, where = order[at : at + 1024], slot[at : at + 1024]
                 ids = [file.ids(x) if x >= 0 else None for x in where]

@@ -45,5 +45,12 @@ def test_store(spark, tmp_path):
     assert got == sorted(want, key=none_last)
     missing = store.lookup(spark.createDataFrame([(8,), (10,)], "doc_id long")).collect()
     assert {r.doc_id: r.n_tokens is None for r in missing} == {8: True, 10: False}
+    asks = spark.createDataFrame([(i, "x", 1) for i in [-50, -50, -50, 10, 10, 10, 10, 10, None, None, 8, 8]], "doc_id long, n_tokens string, shard int").repartition(3)
+    many = sorted((tuple(r)[:3] for r in store.lookup(asks).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or 0))
+    tens = sorted(w[:3] for w in want if w[0] == 10)
+    nulls = [w[:3] for w in want if w[0] is None]
+    assert many == [want[0][:3]] * 3 + [(8, None, None)] * 2 + sorted([*tens, tens[0]]) + nulls * 2
+    long = spark.createDataFrame([(1, "the word " * 50_000, 1, "x")], "doc_id long, text string, shard int, ids string")
+    assert write_token_store(long, PATH, folder=f"file://{tmp_path}/long").lookup(long).first().n_tokens == 100_001
     empty = write_token_store(df.limit(0), PATH, folder=f"file://{tmp_path}/empty")
     assert empty.lookup(df.limit(0)).count() == 0
