@@ -1,19 +1,24 @@
-"""Personal data: patterns propose spans, checksums confirm them, nearby words adjust their scores.
+"""Personal data: patterns propose spans, validators confirm them, nearby words adjust their scores.
 
 Four base kinds are kept whatever their score: email, ip (parts up to 255),
-card (14 to 19 digits that pass Luhn) and phone (10 to 15 digits). Two more are
-kept from a score of ``THRESHOLD`` on: iban (mod-97) and ssn (ranges that are
-issued, and a word nearby that speaks of one). Spans of one kind don't overlap
-and are found from left to right; positions are code points, ends exclusive.
+card (14 to 19 digits that pass Luhn) and phone (10 to 15 digits). Three more
+are kept from a score of ``THRESHOLD`` on: iban (mod-97), ssn (ranges that are
+issued) and secret (keys and tokens: letters and digits mixed, of high entropy).
+Words near a span, on either side and in four languages, raise its score where
+they speak of such data and lower it where they speak of something else that
+looks alike. Spans of one kind don't overlap and are found from left to right;
+positions are code points, ends exclusive.
 
 Every pattern runs in linear time on any text: an address is looked for around
-each at-sign, and runs of digits are entered at their start only.
+each at-sign, and runs of digits or letters are entered at their start only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -21,20 +26,36 @@ from pyspark.sql import DataFrame
 
 from .common import id_and_text, map_slices
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = 4
 THRESHOLD = 0.5
-WINDOW = 48  # characters before a span in which a word counts as nearby
-SCORE = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7, "ssn": 0.2}
-BOOST = 0.35
+BEFORE, AFTER = 48, 32  # characters on each side in which a word counts as nearby
+SCORE = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7, "ssn": 0.2, "secret": 0.3}
+BOOST, DOUBT, KNOWN_PREFIX = 0.35, 0.3, 0.3
+
+
+def _words(*words: str) -> re.Pattern:
+    return re.compile(rf"(?i)(?<![^\W_])(?:{'|'.join(words)})(?![^\W\d_])")
+
+
+#: Words that speak of each kind: English, German, French, Spanish.
 NEARBY = {
-    "email": re.compile(r"(?i)\b(?:e-?mail|contact|write to)\b"),
-    "ip": re.compile(r"(?i)\b(?:ip|host|server|address)\b"),
-    "card": re.compile(r"(?i)\b(?:card|visa|credit|debit|payment)\b"),
-    "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax)\b"),
-    "iban": re.compile(r"(?i)\b(?:iban|account|bank|transfer)\b"),
-    "ssn": re.compile(r"(?i)\b(?:ssn|social security|tax id)\b"),
+    "email": _words("e-?mails?", "contact", "write to", "kontakt", "schreib(?:en|t)?", "courriel", "contacte[rz]", "correo", "contacto"),
+    "ip": _words("ip", "hosts?", "server", "address", "adresse", "rechner", "serveur", "machine", "servidor", "direcci[oó]n"),
+    "card": _words("cards?", "visa", "credit", "debit", "payment", "kreditkarte", "karte", "zahlung", "carte", "paiement", "tarjeta", "pago"),
+    "phone": _words("phone", "tel", "call", "mobile", "fax", "telefon", "handy", "anruf", "t[ée]l[ée]phone", "appele[rz]", "portable", "tel[ée]fono", "m[óo]vil", "llam(?:ar|e)"),
+    "iban": _words("iban", "account", "bank", "transfer", "konto", "[üu]berweisung", "compte", "virement", "banque", "cuenta", "banco", "transferencia"),
+    "ssn": _words("ssn", "social security", "tax id", "sozialversicherung\\w*", "steuernummer", "s[ée]curit[ée] sociale", "seguridad social"),
+    "secret": _words("tokens?", "secrets?", "(?:api|access|private)?[ _-]?keys?", "passwords?", "bearer", "passwort", "kennwort", "schl[üu]ssel", "mot de passe", "cl[ée]", "jeton", "contrase[ñn]a", "clave"),
+}
+#: Words that speak of numbers of another kind.
+AGAINST = {
+    "iban": _words("order", "serial", "part", "isbn", "bestellung", "bestellnummer", "seriennummer", "commande", "num[ée]ro de s[ée]rie", "pedido", "n[úu]mero de serie"),
+    "ssn": _words("order", "serial", "part", "isbn", "bestellung", "bestellnummer", "seriennummer", "commande", "num[ée]ro de s[ée]rie", "pedido", "n[úu]mero de serie"),
+    "secret": _words("sha-?[0-9]*", "md5", "commit", "checksum", "digest", "revision", "pr[üu]fsumme", "somme de contr[ôo]le", "suma de verificaci[óo]n"),
 }
+#: How published kinds of keys begin.
+_PREFIX = re.compile(r"AKIA|ASIA|AIza|gh[pousr]_|xox[abpr]-|sk_live_|eyJ")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -42,10 +63,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _DIGITS = re.compile(r"[^0-9]+")
+LONGEST_SECRET = 4096
 
 SPANS = "doc_id long, spans array<struct<kind: string, start: int, end: int, score: double>>"
-DIGESTS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_iban long, n_ssn long"
+DIGESTS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_iban long, n_ssn long, n_secret long"
 
 
 class Span(NamedTuple):
@@ -119,19 +143,42 @@ def _ssns(text: str):
             yield m.span()
 
 
-_FINDERS = (_emails, _ips, _cards, _phones, _ibans, _ssns)
+def entropy(text: str) -> float:
+    """Bits per character, by the text's own frequencies."""
+    n = len(text)
+    return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
+
+
+def _secrets(text: str):
+    for m in _SECRET.finditer(text):
+        body = m[0].rstrip("=")
+        if len(body) > LONGEST_SECRET or body.isalpha() or not any(c.isalpha() for c in body) or not any(c.isdigit() for c in body):
+            continue
+        if (len(body) >= 32 and entropy(body) >= 3.0) if _HEX.fullmatch(body) else entropy(body) >= 3.6:
+            yield m.span()
+
+
+_FINDERS = (_emails, _ips, _cards, _phones, _ibans, _ssns, _secrets)
+
+
+def score(kind: str, text: str, start: int, end: int) -> float:
+    around = text[max(0, start - BEFORE) : start] + "\n" + text[end : end + AFTER]
+    found = SCORE[kind] + BOOST * bool(NEARBY[kind].search(around))
+    if kind in AGAINST:
+        found -= DOUBT * bool(AGAINST[kind].search(around))
+    if kind == "secret" and _PREFIX.match(text, start):
+        found += KNOWN_PREFIX
+    return round(min(1.0, max(0.0, found)), 2)
 
 
 def find_spans(text: str) -> list[Span]:
     """All kept spans by start, then kind, then end."""
     out = []
     for kind, find in enumerate(_FINDERS):
-        name = KINDS[kind]
         for start, end in find(text):
-            near = bool(NEARBY[name].search(text[max(0, start - WINDOW) : start]))
-            score = min(1.0, SCORE[name] + BOOST * near)
-            if kind < BASE or score >= THRESHOLD:
-                out.append(Span(start, kind, end, score))
+            found = score(KINDS[kind], text, start, end)
+            if kind < BASE or found >= THRESHOLD:
+                out.append(Span(start, kind, end, found))
     return sorted(out)
 
 
