@@ -59,12 +59,6 @@ def grid_hash(rgba: Column | str, height: Column | str, width: Column | str) ->
     return F.sha2(F.concat_ws("x", col(height), col(width), F.array_join(canonical(rgba), ",")), 256)
 
 
-def is_blank(rgba: Column | str, least: int = 8) -> Column:
-    """Fewer visible pixels than ``least``, or all of one colour."""
-    visible = F.filter(pixels(rgba), lambda p: p % 256 > 0)
-    return (F.size(visible) < least) | (F.size(F.array_distinct(visible)) <= 1)
-
-
 def mean_abs_error(a: Column | str, b: Column | str) -> Column:
     """L14."""
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(col(a))
@@ -77,43 +71,6 @@ def alpha_iou(a: Column | str, b: Column | str) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.filter(both, lambda x: x == 2)) / union)
 
 
-def opacity_ratio(a: Column | str, b: Column | str) -> Column:
-    """Visible pixels of b per visible pixel of a; null if a has none."""
-    n = lambda c: F.size(F.filter(channel(c, 3), lambda x: x > 0))
-    return F.try_divide(n(b), n(a))
-
-
-def introduced_colors(a: Column | str, b: Column | str) -> Column:
-    """Colours of b that a does not have."""
-    return F.size(F.array_except(pixels(b), pixels(a)))
-
-
-def hue_share(hues: Column, ranges: list[tuple[float, float]]) -> Column:
-    """The share of values inside any of the ranges; zero for none."""
-    inside = lambda h: F.array_max(F.array(*[(h >= a) & (h <= b) for a, b in ranges]))
-    return F.coalesce(F.try_divide(F.size(F.filter(hues, inside)), F.size(hues)), F.lit(0.0))
-
-
-def color_compatible(n: Column, coverage: Column, concentration: Column, turn: Column) -> Column:
-    """Enough pixels, enough of the item, one clear hue, and a turn of at most 30 degrees."""
-    return (n >= 8) & (coverage >= 0.15) & (concentration >= 0.6) & (turn <= 30)
-
-
-def grid_choice(width: Column | str, height: Column | str, cells: list[int]) -> Column:
-    """The largest cell that divides both sides with at least two cells; null if none does."""
-    out = None
-    for c in sorted(cells, reverse=True):
-        fits = (col(width) % c == 0) & (col(height) % c == 0) & (col(width) * col(height) >= 2 * c * c)
-        out = F.when(fits, c) if out is None else out.when(fits, c)
-    return out
-
-
-def seam_score(gray: Column | str, width: int) -> Column:
-    """Mean difference of the left and right edge of a grey grid."""
-    left, right = F.filter(col(gray), lambda x, i: i % width == 0), F.filter(col(gray), lambda x, i: i % width == width - 1)
-    return mean_abs_error(left, right)
-
-
 def _grids(flat, h, w) -> list[np.ndarray]:
     return [np.asarray(x, np.int64).reshape(a, b, 4) for x, a, b in zip(flat, h, w, strict=True)]
 
@@ -133,55 +90,6 @@ def lossless_cell(flat: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series([smallest(g) for g in _grids(flat, h, w)])
 
 
-@F.pandas_udf(NUMBERS)
-def downsample_box(flat: pd.Series, h: pd.Series, w: pd.Series, k: pd.Series) -> pd.Series:
-    """Means of k x k blocks with colours weighted by alpha, rounded down."""
-
-    def box(g, k):
-        a = g[..., 3:4]
-        blocks = lambda x: x.reshape(g.shape[0] // k, k, g.shape[1] // k, k, -1).sum((1, 3))
-        alpha = blocks(a)
-        rgb = blocks(g[..., :3] * a) // np.maximum(alpha, 1)
-        return np.concatenate([rgb, alpha // (k * k)], -1).reshape(-1).tolist()
-
-    return pd.Series([box(g, int(n)) for g, n in zip(_grids(flat, h, w), k, strict=True)])
-
-
-@F.pandas_udf(NUMBERS)
-def rotate_hue(flat: pd.Series, degrees: pd.Series) -> pd.Series:
-    """Hues turned, saturation and value kept."""
-    import colorsys
-
-    def turn(x, d):
-        out = list(x)
-        for i in range(0, len(out), 4):
-            hue, s, v = colorsys.rgb_to_hsv(*(c / 255 for c in out[i : i + 3]))
-            out[i : i + 3] = [round(c * 255) for c in colorsys.hsv_to_rgb((hue + d / 360) % 1, s, v)]
-        return out
-
-    return pd.Series([turn(x, d) for x, d in zip(flat, degrees, strict=True)])
-
-
-@F.pandas_udf(NUMBERS)
-def islands(flat: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    """Sizes of the 8-connected visible regions, largest first."""
-
-    def sizes(g):
-        left, out = {(int(y), int(x)) for y, x in np.argwhere(g[..., 3] > 0)}, []
-        while left:
-            todo, n = [left.pop()], 0
-            while todo:
-                y, x = todo.pop()
-                n += 1
-                near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & left
-                left -= near
-                todo.extend(near)
-            out.append(n)
-        return sorted(out, reverse=True)
-
-    return pd.Series([sizes(g) for g in _grids(flat, h, w)])
-
-
 @F.pandas_udf(NUMBERS)
 def quantize(flat: pd.Series, palette: pd.Series) -> pd.Series:
     """Each pixel takes the nearest palette colour, alpha kept; ties by palette order."""
@@ -198,15 +106,3 @@ def quantize(flat: pd.Series, palette: pd.Series) -> pd.Series:
 def roll(flat: pd.Series, h: pd.Series, w: pd.Series, dy: pd.Series, dx: pd.Series) -> pd.Series:
     """The grid shifted with wrap-around."""
     return pd.Series([np.roll(g, (int(y), int(x)), (0, 1)).reshape(-1).tolist() for g, y, x in zip(_grids(flat, h, w), dy, dx, strict=True)])
-
-
-@F.pandas_udf(T.DoubleType())
-def flat_share(flat: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    """The share of 2 x 2 blocks of one colour."""
-
-    def share(g):
-        a = g[:-1, :-1]
-        same = (a == g[1:, :-1]).all(-1) & (a == g[:-1, 1:]).all(-1) & (a == g[1:, 1:]).all(-1)
-        return float(same.mean()) if same.size else 1.0
-
-    return pd.Series([share(g) for g in _grids(flat, h, w)])

@@ -1,6 +1,6 @@
 """All queries over the driver's tables."""
 
-from . import core, curation, evidence, io, metrics, select, text
+from . import core, curation, evidence, images, io, metrics, select, text
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "curation", "evidence", "io", "metrics", "select", "text"]
+__all__ = ["QUERIES", "SQL", "core", "curation", "evidence", "images", "io", "metrics", "select", "text"]
