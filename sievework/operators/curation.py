@@ -64,10 +64,30 @@ def augmentation_collisions(df: DataFrame, split: str, variants: Column, exposed
     return j.filter((F.col("_n") > 1) | F.col("_e").isNotNull()).select("hash", F.when(F.col("_n") > 1, "crosses_splits").otherwise("exposed").alias("reason"))
 
 
+def sha256_mod(text: Column, modulus: int) -> Column:
+    """The SHA-256 of a text, read as a 256-bit number, modulo at most 2**15: twelve hex digits after another."""
+    digest, rest = F.sha2(text, 256), F.lit(0).cast("long")
+    for at in range(0, 64, 12):
+        n = min(12, 64 - at)
+        rest = (rest * (1 << 4 * n) + F.conv(F.substring(digest, at + 1, n), 16, 10).cast("long")) % modulus
+    return rest
+
+
+#: Fixed values of the hashed embedding: places of its projection, weights, scale.
+PLACES, WEIGHTS, SCALE = 8 * 768, (1.0, 0.5), 0.1
+
+
 def hashed_embedding(grams: Column, dimensions: int) -> Column:
-    """Bucket counts of a token list over the root of its length; buckets by the first 15 hex digits of SHA-256."""
-    bucket = F.transform(grams, lambda g: (F.conv(F.substring(F.sha2(g, 256), 1, 15), 16, 10).cast("long") % dimensions).cast("int"))
-    return F.transform(F.array(bucket), lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)) / F.greatest(F.sqrt(F.size(b).cast("double")), F.lit(1.0))))[0]
+    """Each token of a list adds to two of ``dimensions`` places that its SHA-256 chooses; over the root of the list's length, scaled.
+
+    The first place is the hash's among ``PLACES``, the second seven times that
+    plus the hash, both modulo ``dimensions``.
+    """
+    first = F.transform(grams, lambda g: sha256_mod(g, PLACES))
+    places = F.transform(F.arrays_zip(first.alias("at"), F.transform(grams, lambda g: sha256_mod(g, dimensions)).alias("own")), lambda z: F.struct((z["at"] % dimensions).alias("one"), ((z["at"] * 7 + z["own"]) % dimensions).alias("two")))
+    norm = SCALE / F.sqrt(F.greatest(F.size(grams), F.lit(1)) + F.lit(1e-6))
+    count = lambda p, field, d: F.size(F.filter(p, lambda z: z[field] == d))
+    return F.transform(F.array(places), lambda p: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: (WEIGHTS[0] * count(p, "one", d) + WEIGHTS[1] * count(p, "two", d)) * norm))[0]
 
 
 def fresh_evaluation(df: DataFrame, split: str, content: str, monitored: DataFrame, category: str, order: str, n_val: int) -> DataFrame:

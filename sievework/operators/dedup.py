@@ -115,6 +115,48 @@ def greedy_over_all(df: DataFrame, key: str, vector: str, threshold: float, hash
         rest = told.filter("kept_by is null").drop("kept_by")
 
 
+def greedy_by_hash(df: DataFrame, key: str, code: str, bits: int = 4) -> DataFrame:
+    """I11 for rows that have a 64-bit hash: ``(key, kept_by)``; rows are visited by key and kept unless a kept row's hash differs in at most ``bits`` bits.
+
+    Candidates are complete: a 64-bit hash is cut into ``bits + 2`` bands, and
+    two that differ in ``bits`` bits agree in two bands at least. The order of
+    visits is then resolved over the links: in each round every row with no
+    undecided or kept row before it among its neighbours is kept, and later
+    neighbours of kept rows go. Rows of one hash are one node, decided alike.
+    """
+    from itertools import combinations
+
+    from .storage import checkpointed
+
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(code).cast("long").alias("code")).filter("key is not null and code is not null")
+    nodes = checkpointed(rows.groupBy("code").agg(F.min("key").alias("key")))
+    n = bits + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    band = [F.shiftrightunsigned(F.col("code"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    pairs = [F.struct(F.lit(k).alias("kind"), band[i].alias("one"), band[j].alias("two")) for k, (i, j) in enumerate(combinations(range(n), 2))]
+    banded = nodes.select("code", "key", F.explode(F.array(*pairs)).alias("band")).select("code", "key", "band.*")
+    a, b = banded.alias("a"), banded.alias("b")
+    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.one") == F.col("b.one")) & (F.col("a.two") == F.col("b.two"))
+    near = a.join(b, same & (F.col("a.key") < F.col("b.key")) & (F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= bits))
+    links = checkpointed(near.select(F.col("a.key").alias("first"), F.col("b.key").alias("second")).distinct())
+    left, open_links, kept = nodes.select("key"), links, None
+    while True:
+        waiting = open_links.select(F.col("second").alias("key")).distinct()
+        fresh = checkpointed(left.join(waiting, "key", "left_anti"))
+        kept = fresh if kept is None else kept.unionByName(fresh)
+        gone = open_links.join(fresh.withColumnRenamed("key", "first"), "first", "left_semi").select(F.col("second").alias("key")).distinct()
+        told = checkpointed(fresh.unionByName(gone))
+        left = checkpointed(left.join(told, "key", "left_anti"))
+        if left.isEmpty():
+            break
+        open_links = open_links.join(told.withColumnRenamed("key", "first"), "first", "left_anti").join(told.withColumnRenamed("key", "second"), "second", "left_anti")
+        open_links = checkpointed(open_links.select("first", "second"))
+    # a row that goes is told the first of the kept rows that are near
+    by = links.join(kept.withColumnRenamed("key", "first"), "first").groupBy(F.col("second").alias("key")).agg(F.min("first").alias("kept_by"))
+    by_code = nodes.join(by, "key", "left").select("code", F.coalesce("kept_by", "key").alias("kept_by"))
+    return rows.join(by_code, "code").select("key", "kept_by")
+
+
 def consecutive(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """E4, row form: rows whose value differs from the row before."""
     w = Window.partitionBy(*partition).orderBy(*order)

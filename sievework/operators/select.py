@@ -144,13 +144,16 @@ def capped_round_robin(df: DataFrame, stratum: str, project: str, key: str, n: i
     """Strata in a fixed order take turns; a row counts only while its project is below its cap.
 
     What one stratum takes decides what the next may take, so the last step is
-    sequential. It runs on a reduced pool: no project can give a stratum more
-    than ``cap`` rows and no stratum more than ``n * cap`` tries matter.
+    sequential. It runs on a pool of ``2 * n`` rows a stratum at most: no
+    project can give a stratum more than ``cap`` rows, and of a stratum's rows in
+    order at most n are taken and at most n passed over, as at most ``n / cap``
+    projects reach their cap.
     """
     import pandas as pd
 
     order = list(strata)
     pool = top_per_group(df.filter(F.col(stratum).isin(*order)).select(stratum, project, key), [stratum, project], [key], cap)
+    pool = top_per_group(pool, [stratum], [key], 2 * n)
 
     def turns(rows: pd.DataFrame) -> pd.DataFrame:
         queues = {s: list(g.sort_values(key)[[project, key]].itertuples(index=False, name=None)) for s, g in rows.groupby(stratum)}
@@ -171,3 +174,12 @@ def capped_round_robin(df: DataFrame, stratum: str, project: str, key: str, n: i
         return pd.DataFrame(out, columns=[stratum, project, key])
 
     return pool.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(lambda r: turns(r), pool.schema)
+
+
+def cap_after_union(picks: Sequence[DataFrame], key: str, project: str, cap: int, size: int, seed: int) -> DataFrame:
+    """Rows that any round picked, each once; then at most ``cap`` of a project and ``size`` in all, by seeded hash."""
+    out = picks[0]
+    for p in picks[1:]:
+        out = out.unionByName(p)
+    order = seeded_order(seed, key)
+    return top_per_group(out.dropDuplicates([key]), [project], [order, F.col(key)], cap).orderBy(order, key).limit(size)

@@ -8,7 +8,7 @@ from ..functions import keys as K
 from ..functions import repair
 from ..functions import text as X
 from ..operators import curation as C
-from ..operators import dedup, splits
+from ..operators import dedup, splits, vector
 from .registry import query
 
 
@@ -106,10 +106,21 @@ def augmentation_collisions(t):
     return C.augmentation_collisions(p, "split", F.array("p_name", "p_type"), t.spark.createDataFrame([("red ring",)], "h string"))
 
 
-@query("hashed_embeddings", """with a as (select p_partkey, string_split(p_name, ' ') || [p_name] as k from part), b as (select p_partkey, list_transform(k, lambda g: ('0x' || substr(sha256(g), 1, 15))::ubigint % 8) as b from a) select p_partkey, list_transform(range(0, 8), lambda d: len(list_filter(b, lambda x: x = d)) / sqrt(len(b))) as v from b""")
+@query("hashed_embeddings", """with a as (select p_partkey, string_split(p_name, ' ') || [p_name] as k from part), h as (select p_partkey, k, list_transform(k, lambda g: list_transform(range(0, 64), lambda i: ('0x' || sha256(g)[i + 1])::hugeint)) as d from a),
+  m as (select p_partkey, k, list_transform(d, lambda x: list_reduce(x, lambda s, y: (s * 16 + y) % 6144)) as spot, list_transform(d, lambda x: list_reduce(x, lambda s, y: (s * 16 + y) % 8)) as own from h),
+  z as (select p_partkey, k, list_transform(spot, lambda x: x % 8) as one, list_transform(list_zip(spot, own), lambda x: (x[1] * 7 + x[2]) % 8) as two from m)
+  select p_partkey, list_transform(range(0, 8), lambda j: round((len(list_filter(one, lambda x: x = j)) + 0.5::double * len(list_filter(two, lambda x: x = j))) * 0.1::double / sqrt(len(k) + 1e-6::double), 9)) as v from z""")
 def hashed_embeddings(t):
     k = F.split("p_name", " ")
-    return t.part.select("p_partkey", C.hashed_embedding(F.concat(k, F.array("p_name")), 8).alias("v"))
+    v = C.hashed_embedding(F.concat(k, F.array("p_name")), 8)
+    return t.part.select("p_partkey", F.transform(v, lambda x: F.round(x, 9)).alias("v"))
+
+
+@query("greedy_hash_duplicates")
+def greedy_hash_duplicates(t):
+    """I11 by perceptual hash: the sign hash of each vector rounded to whole numbers, four bits."""
+    code = vector.sign_hash(F.transform("embedding", lambda x: F.round(x.cast("double"))))
+    return dedup.greedy_by_hash(t.embeddings.select("vec_id", code.alias("code")), "vec_id", "code")
 
 
 @query("first_json_objects", "select event_id, json_extract_string(props, '$.k') as k from events")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
 from ..operators.storage import shared_folder
 from ..operators.windows import GuardPolicy
-from ..sources import files
+from ..sources import cache, files
 from ..streaming import monitor
 from .registry import query
 
@@ -26,12 +29,46 @@ def json_lines_tolerant(t):
     return files.json_lines_tolerant(t.spark, path, "event_id long")
 
 
-@query("json_lines_errors", "select count(*) as bad from events where event_id % 10 in (0, 1)")
+@query("json_lines_slice", "select event_id as line, event_id, event_type from events where event_id between 100 and 399")
+def json_lines_slice(t):
+    """Lines 100 to 399 of one file, found by number whatever the splits."""
+    path = shared_folder(t.spark, "jsonl")
+    t.events.select("event_id", "event_type").coalesce(1).sortWithinPartitions("event_id").select(F.to_json(F.struct("event_id", "event_type")).alias("value")).write.text(path)
+    return files.json_lines(t.spark, path, "event_id long, event_type string", start=100, limit=300)
+
+
+@query("json_lines_errors", "select event_id + 1 as line, case when event_id % 10 = 0 then '{\"event_id\": ' else '{\"other\": 1}' end as text from events where event_id % 10 in (0, 1)")
 def json_lines_errors(t):
     path = shared_folder(t.spark, "jsonl")
     line = F.when(F.col("event_id") % 10 == 0, '{"event_id": ').when(F.col("event_id") % 10 == 1, '{"other": 1}').otherwise(F.to_json(F.struct("event_id")))
-    t.events.select(line.alias("value")).write.text(path)
-    return files.json_lines_errors(t.spark, path, "event_id long", ["event_id"]).agg(F.count("*").alias("bad"))
+    t.events.coalesce(1).sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    return files.json_lines_errors(t.spark, path, "event_id long", ["event_id"]).select("line", "text")
+
+
+@query("sharded_manifest", "select shard, count(*) as n from (select (row_number() over (order by doc_id) - 1) // 70 as shard from documents) group by 1")
+def sharded_manifest(t):
+    """JSON lines with at most 70 rows in each file, read back by file."""
+    path = shared_folder(t.spark, "shards")
+    files.write_sorted_json(t.documents.select("doc_id", "source").coalesce(1).sortWithinPartitions("doc_id"), path, rows_per_file=70)
+    per = t.spark.read.schema("doc_id long").json(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return per.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("shard"), "n")
+
+
+@query("chunk_cache", "select page_id, upper(url) as feature from pages")
+def chunk_cache(t):
+    """A cache that is filled in two runs; the second computes only what the first has not."""
+    folder = shared_folder(t.spark, "cache")
+
+    def compute(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["chunk"], b["index"], pc.utf8_upper(b["value"])], names=["chunk", "index", "feature"])
+
+    schema, pages = "chunk long, index long, feature string", t.pages.select("page_id", "url")
+    for rows in (pages.filter(F.col("page_id") < 64), pages):
+        cache.fill(rows, "page_id", "url", folder, "upper-1", compute, schema, chunk=32)
+    if not cache.violations(t.spark, folder, schema).isEmpty():
+        raise ValueError("the cache has changed")
+    return cache.read(t.spark, folder, schema).select(F.col("index").alias("page_id"), "feature")
 
 
 @query("parquet_point_read", "select doc_id, source from documents where doc_id in (select doc_id from labels where toxic = 1)")

@@ -151,3 +151,18 @@ def category_first_then_fill(t):
     first = t.documents.groupBy("lang").agg(F.min("doc_id").alias("doc_id")).select("doc_id").withColumn("p", F.lit(0))
     rest = t.documents.select("doc_id").join(first.select("doc_id"), "doc_id", "left_anti").withColumn("p", F.lit(1))
     return first.unionByName(rest).orderBy("p", "doc_id").limit(40).select("doc_id")
+
+
+@query("hash_round_robin")
+def hash_round_robin(t):
+    """languages in turn, one row of each content across all of them."""
+    d = t.documents.withColumn("content", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return S.capped_round_robin(d, "lang", "content", "doc_id", 80, 1, ["en", "de", "fr", "es"])
+
+
+@query("cap_after_union", f"""with p as (select doc_id, source from documents where lang = 'en' qualify row_number() over (partition by source order by {ORD.format(seed=3, col='doc_id')}, doc_id) <= 6), q as (select doc_id, source from documents where n_chars > 800 qualify row_number() over (partition by source order by {ORD.format(seed=4, col='doc_id')}, doc_id) <= 6),
+  u as (select * from p union select * from q), c as (select * from u qualify row_number() over (partition by source order by {ORD.format(seed=5, col='doc_id')}, doc_id) <= 8) select doc_id, source from c order by {ORD.format(seed=5, col='doc_id')}, doc_id limit 30""")
+def cap_after_union(t):
+    d = t.documents.select("doc_id", "source", "lang", "n_chars")
+    picks = [S.reservoir(d.filter(f), "source", "doc_id", 6, seed).select("doc_id", "source") for f, seed in (("lang = 'en'", 3), ("n_chars > 800", 4))]
+    return S.cap_after_union(picks, "doc_id", "source", 8, 30, 5)

@@ -227,6 +227,10 @@ def search_page(t):
     return t.conversations.filter((F.col("role") == "user") & hit).orderBy("conv_id", "turn").offset(10).limit(20).select("conv_id", "turn", "role")  # a page is the feature
 
 
-@query("local_path_guard", "select page_id, regexp_matches(url, '^(/|file:|[A-Za-z]:\\\\)') as local_url from pages")
+@query("local_path_guard", """select 'nested' as "column", v as value from (select unnest([url, '/tmp/' || page_id, 'C:/x/' || page_id, 'notes/a', case when page_id % 2 = 0 then '~/' || page_id end]) as v from pages) where regexp_matches(v, '^(/|~|file:|[A-Za-z]:[/\\\\])')""")
 def local_path_guard(t):
-    return t.pages.select("page_id", F.exists(F.array("url"), lambda x: x.rlike(r"^(/|file:|[A-Za-z]:\\)")).alias("local_url"))
+    from ..sources.files import local_paths
+
+    k = F.col("page_id").cast("string")
+    nested = F.struct(F.array("url", F.concat(F.lit("/tmp/"), k)).alias("list"), F.create_map(F.lit("a"), F.struct(F.concat(F.lit("C:/x/"), k).alias("p"), F.lit("notes/a").alias("q"))).alias("map"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("~/"), k)).alias("home"), "page_id")
+    return local_paths(t.pages.select(nested.alias("nested")), ["nested"])

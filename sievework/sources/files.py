@@ -10,7 +10,7 @@ import zipfile
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,16 +21,24 @@ MEMBER_LIMIT = 100 << 20
 # JSON lines
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, *, start: int = 0, limit: int | None = None) -> DataFrame:
-    """A1: rows of a JSON-lines file, blank lines skipped; with ``start`` or ``limit`` by line number within each file.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, value)``: lines of text files, numbered from 0 in each file, however many tasks read a file.
 
-    Lines are numbered by their place in the file, as one text split would give
-    them, so a whole file is one task's work only when numbers are asked for.
+    Spark's row ids ascend inside a block of a file; the lines of the blocks
+    before one (a row for each block) give its first number.
     """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, *, start: int = 0, limit: int | None = None) -> DataFrame:
+    """A1: rows of a JSON-lines file, blank lines skipped; with ``start`` or ``limit`` by line number (from 0) within each file."""
     if not start and limit is None:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    lines = lines.filter(F.trim("value") != "").filter(F.col("line") >= start)
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "").filter(F.col("line") >= start)
     if limit is not None:
         lines = lines.filter(F.col("line") < start + limit)
     return lines.select("line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("line", "row.*")
@@ -42,13 +50,29 @@ def json_lines_tolerant(spark: SparkSession, path: str, schema: str) -> DataFram
 
 
 def json_lines_errors(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
-    """A3: ``(file, line)`` of each line that is no JSON of the schema or lacks a required field."""
+    """A3: ``(file, line, text)`` of each line, numbered from 1, that is no JSON of the schema or lacks a required field; blank lines are none."""
     kind = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(kind).option("columnNameOfCorruptRecord", "_bad").json(path).select("*", F.col("_metadata.file_path").alias("file"))
-    missing = F.col("_bad").isNotNull()
+    rows = numbered_lines(spark, path).filter(F.trim("value") != "").withColumn("row", F.from_json("value", kind, {"columnNameOfCorruptRecord": "_bad"}))
+    wrong = F.col("row").isNull() | F.col("row._bad").isNotNull()
     for c in required:
-        missing = missing | F.col(c).isNull()
-    return rows.filter(missing).select("file", F.coalesce("_bad", F.to_json(F.struct(*required))).alias("line"))
+        wrong = wrong | F.col("row")[c].isNull()
+    return rows.filter(wrong).select("file", (F.col("line") + 1).alias("line"), F.col("value").alias("text"))
+
+
+def merge_schema(spark: SparkSession, folder: str, name: str, shape: list[int], dtype: str, extra: dict | None = None) -> dict:
+    """Describes a raw file in the folder's ``schema.json``: other files stay listed, metadata is that of the latest call."""
+    system, at = fs.FileSystem.from_uri(f"{folder}/schema.json")
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    known = {}
+    if system.get_file_info(at).type == fs.FileType.File:
+        with system.open_input_stream(at) as f:
+            known = json.loads(f.read())
+    merged = {**known, **(extra or {}), "files": {**known.get("files", {}), name: {"shape": list(shape), "dtype": dtype}}}
+    attempt = f"{at}.{uuid.uuid4().hex}"
+    with system.open_output_stream(attempt) as out:
+        out.write(json.dumps(merged, indent=2, sort_keys=True).encode())
+    system.move(attempt, at)
+    return merged
 
 
 def write_sorted_json(df: DataFrame, path: str, *, rows_per_file: int = 0) -> None:
@@ -252,10 +276,30 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", re.escape(path.rstrip("/").rpartition("/")[2]) + "/(.*)$", 1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+#: Fixed pattern: how a place on a machine begins.
+LOCAL_PATH = r"^(/|~|file:|[A-Za-z]:[/\\\\])"
+
+
 def local_paths(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, value)`` of text that names a place on a machine."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
-    return long.filter(F.col("value").rlike(r"^(/|~|file:|[A-Za-z]:\\)"))
+    """``(column, value)`` of text, at any depth of lists, structs and maps, that names a place on a machine."""
+
+    def texts(column: Column, kind: T.DataType) -> Column | None:
+        if isinstance(kind, T.StringType):
+            return F.array(column)
+        if isinstance(kind, T.ArrayType):
+            return None if texts(column, kind.elementType) is None else F.flatten(F.transform(column, lambda x: texts(x, kind.elementType)))
+        if isinstance(kind, T.MapType):
+            return None if texts(column, kind.valueType) is None else F.flatten(F.transform(F.map_values(column), lambda x: texts(x, kind.valueType)))
+        if isinstance(kind, T.StructType):
+            parts = [x for f in kind.fields if (x := texts(column[f.name], f.dataType)) is not None]
+            return F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in parts])) if parts else None
+        return None
+
+    found = [F.struct(F.lit(c).alias("column"), x.alias("values")) for c in columns if (x := texts(F.col(c), df.schema[c].dataType)) is not None]
+    if not found:
+        return df.select(F.lit("").alias("column"), F.lit("").alias("value")).limit(0)
+    long = df.select(F.explode(F.array(*found)).alias("x")).select("x.column", F.explode("x.values").alias("value"))
+    return long.filter(F.col("value").rlike(LOCAL_PATH))
 
 
 def crawl_pages(pages: DataFrame, seen: DataFrame, key: str, order: Column | str) -> DataFrame:

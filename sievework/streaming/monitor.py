@@ -15,12 +15,23 @@ from pyspark.sql import functions as F
 from ..operators.windows import GuardPolicy
 
 
-def tail_json(spark: SparkSession, folder: str, schema: str, *, files_per_trigger: int = 1000) -> DataFrame:
-    """A stream of JSON lines from files that appear complete in a folder; lines that are none are left aside.
-
-    The checkpoint remembers what was read; ``files_per_trigger`` is the back-pressure.
+def tail_json(spark: SparkSession, folder: str, schema: str, *, files_per_trigger: int = 1000, bad: str | None = None) -> DataFrame:
+    """A stream of JSON lines from files that appear complete in a folder.
+
+    Lines that are none are left aside; with ``bad`` they come as rows that hold
+    the line in this column, so that they can be counted. The checkpoint
+    remembers what was read, so a file is never taken twice; a last line without
+    a newline counts as a line, as files are complete when they appear.
+    ``files_per_trigger`` is the back-pressure.
     """
-    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_trigger).json(folder)
+    reader = spark.readStream.schema(f"{schema}, `{bad}` string" if bad else schema).option("maxFilesPerTrigger", files_per_trigger)
+    reader = reader.option("columnNameOfCorruptRecord", bad) if bad else reader.option("mode", "DROPMALFORMED")
+    return reader.json(folder)
+
+
+def count_lines(stream: DataFrame, bad: str) -> DataFrame:
+    """One row with the lines that were read and those that were no JSON of the schema."""
+    return stream.agg(F.count("*").alias("lines"), F.count(bad).alias("bad_lines"))
 
 
 GUARD_ROWS = "log string, step long, window long, loss_median double, gradient_median double, clipped double, unhealthy boolean, bad_windows long, stop boolean, reason string"

@@ -34,3 +34,18 @@ def test_query_compares_across_labels(spark):
     rows = [(r.vec_id, [float(x) for x in r.embedding], None) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = {r.key: r.kept_by for r in QUERIES["greedy_near_duplicates"](spark, sf).collect()}
     assert got == brute(rows, 0.9)
+
+
+def test_by_hash_equals_the_loop(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in rnd.sample(range(10_000), 400):
+        code = rnd.choice([0, 0x5555555555555555, 2**63 - 1, rnd.getrandbits(63)])
+        for b in rnd.sample(range(63), rnd.randrange(9)):
+            code ^= 1 << b
+        rows.append((i, [0.0], code))
+    rows += [(20_000 + k, [0.0], rows[k][2]) for k in range(20)]
+    df = spark.createDataFrame([(k, h, 1) for k, _, h in rows] + [(None, 3, 1), (5, None, 1)], "id long, code long, key int").repartition(5)
+    got = {r.key: r.kept_by for r in dedup.greedy_by_hash(df, "id", "code").collect()}
+    assert got == brute(rows, 0.0)
+    assert len(set(got.values())) < len(got) and dedup.greedy_by_hash(df.limit(0), "id", "code").count() == 0
