@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from sievework.llm.substring import remove_repeats
 
@@ -59,3 +60,29 @@ def test_rows_of_one_id_and_real_outputs(spark):
     assert got == {(1, 0, text), (2, 30, "x y"), (3, 0, "short")}
     assert [tuple(x) for x in remove_repeats(df).filter("doc_id = 2").first().repeats] == [(1, 31)]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_not_gathered(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    texts = [" ".join([*(f"w{i}-{k}" for k in range(60)), passage, *(f"v{i}-{k}" for k in range(60))]) for i in range(3000)]
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        began = time.time()
+        removed = sorted(r.n_removed for r in remove_repeats(df, digests=True).collect())
+        return time.time() - began, removed
+
+    run(list(enumerate(texts[:50])))
+    with_ids, got = run(list(enumerate(texts)))
+    assert got == [0] + [25] * 2999
+    for ids in (lambda i: None, lambda i: 7, lambda i: i // 2):
+        seconds, got = run([(ids(i), t) for i, t in enumerate(texts)])
+        assert got == ([0, 0] + [25] * 2998 if ids(5) == 2 else [0] * 3000)  # rows of one id don't remove each other
+        assert seconds < 3 * with_ids + 5
+
+
+def test_very_long_text(spark):
+    words = " ".join(f"w{i % 5000}" for i in range(60_000))
+    df = spark.createDataFrame([(1, words, "x"), (2, "a b " + words[:3000], "x")], "doc_id long, text string, row string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(df, digests=True).collect()}
+    assert got[1] == (60_000, 55_000) and got[2][1] > 500
