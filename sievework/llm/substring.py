@@ -120,12 +120,9 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _told(column: pa.Array, docs: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Anchors of each document and what is known of them: mixed where no first document is named, else whether it is this one."""
-    anchors, least, mixed = column.values.field(0).to_numpy(), column.values.field(1).fill_null(0).to_numpy(), column.values.field(1).is_null().to_numpy(zero_copy_only=False)
-    ends = column.offsets.to_numpy()
-    cut = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return [anchors[c] for c in cut], [np.where(mixed[c], MIXED, np.where(least[c] == d, FIRST, LATER)).astype(np.int8) for c, d in zip(cut, docs.tolist(), strict=True)]
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _codes(cells: Cells, anchors: list[np.ndarray], codes: list[np.ndarray]) -> np.ndarray:
@@ -164,45 +161,51 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, d
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _with_row_keys(id_and_text(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text"))
+    keyed, unique = _with_row_keys(id_and_text(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text"))
+    # where ids are unique the row key is the doc, and is sent once
+    names = ["row"] if unique else ["row", "doc"]
+    doc, types = names[-1], ", ".join(f"{c} long" for c in names)
 
     def anchors(batches):
         for part in slices(batches, 256):
             cells = Cells(raw_texts(part["text"]), window, gram)
             whose = pa.array(cells.cell_doc)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.anchor), pa.array(cells.content), part["doc"].take(whose), part["row"].take(whose)], names=["anchor", "content", "doc", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells.anchor), pa.array(cells.content), *(part[c].take(whose) for c in names)], names=["anchor", "content", *names])
 
-    found = keyed.mapInArrow(anchors, "anchor long, content long, doc long, row long")
+    found = keyed.mapInArrow(anchors, f"anchor long, content long, {types}")
     groups = (
         found.groupBy("anchor")
-        .agg(F.count("*").alias("n"), (F.min("content") == F.max("content")).alias("same"), F.min("doc").alias("least"))
+        .agg(F.count("*").alias("n"), (F.min("content") == F.max("content")).alias("same"), F.min(doc).alias("least"))
         .filter("n > 1")
-        .select(F.col("anchor").alias("known"), F.when(F.col("same"), F.col("least")).alias("least"))
+        .select(F.col("anchor").alias("known"), "same", "least")
         .repartition(n)
     )
-    told = found.select("anchor", "row").join(groups, F.col("anchor") == F.col("known"))
-    by_row = told.groupBy("row").agg(F.collect_set(F.struct("anchor", "least")).alias("told")).select(F.col("row").alias("told_row"), "told")
+    code = F.when(~F.col("same"), MIXED).when(F.col("least") == F.col(doc), FIRST).otherwise(LATER).cast("tinyint")
+    told = found.select("anchor", *names).join(groups, F.col("anchor") == F.col("known")).select("row", "anchor", code.alias("code"))
+    told = told if unique else told.distinct()  # equal rows have one key
+    by_row = told.groupBy("row").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("code").alias("codes")).withColumnRenamed("row", "told_row")
 
     texts = keyed.repartition(n, "row")  # one shuffle of the texts; both joins below reuse it
 
     def ends(batches):
         for part in slices(batches, 256):
             cells = Cells(raw_texts(part["text"]), window, gram)
-            mixed = _codes(cells, *_told(part["told"], part["doc"].to_numpy())) == MIXED
+            mixed = _codes(cells, _lists(part["anchors"]), _lists(part["codes"])) == MIXED
             take = mixed[cells.cell]
             one, two = (h[take] for h in cells.window_hashes())
-            doc = cells.doc[take]
-            first = _first_of_equal(doc, one, two)
-            whose = pa.array(doc[first])
-            yield pa.RecordBatch.from_arrays([pa.array(one[first]), pa.array(two[first]), part["doc"].take(whose), part["row"].take(whose)], names=["one", "two", "doc", "row"])
-
-    with_mixed = by_row.filter(F.exists("told", lambda x: x["least"].isNull()))
-    inner = texts.join(with_mixed, F.col("row") == F.col("told_row")).select("doc", "row", "text", "told")
-    windows = inner.mapInArrow(ends, "one long, two long, doc long, row long")
-    repeated = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("doc").alias("least")).filter("n > 1")
+            whose = cells.doc[take]
+            first = _first_of_equal(whose, one, two)
+            mine = pa.array(whose[first])
+            yield pa.RecordBatch.from_arrays([pa.array(one[first]), pa.array(two[first]), *(part[c].take(mine) for c in names)], names=["one", "two", *names])
+
+    with_mixed = by_row.filter(F.array_contains("codes", F.lit(MIXED).cast("tinyint")))
+    inner = texts.join(with_mixed, F.col("row") == F.col("told_row")).select(*names, "text", "anchors", "codes")
+    windows = inner.mapInArrow(ends, f"one long, two long, {types}")
+    repeated = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(doc).alias("least")).filter("n > 1")
     repeated = repeated.select(F.col("one").alias("one_r"), F.col("two").alias("two_r"), "least").repartition(n)
-    later = windows.join(repeated, (F.col("one") == F.col("one_r")) & (F.col("two") == F.col("two_r"))).filter("doc <> least")
-    later_by_row = later.groupBy("row").agg(F.collect_set(F.struct("one", "two")).alias("later")).select(F.col("row").alias("later_row"), "later")
+    later = windows.join(repeated, (F.col("one") == F.col("one_r")) & (F.col("two") == F.col("two_r"))).filter(F.col(doc) != F.col("least")).select("row", "one", "two")
+    later = later if unique else later.distinct()
+    later_by_row = later.groupBy("row").agg(F.collect_list("one").alias("ones"), F.collect_list("two").alias("twos")).withColumnRenamed("row", "later_row")
 
     def remove(batches):
         for part in slices(batches, 256):
@@ -211,7 +214,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, d
     whole = (
         texts.join(by_row, F.col("row") == F.col("told_row"), "left")
         .join(later_by_row, F.col("row") == F.col("later_row"), "left")
-        .select("doc", "text", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("told", "array<struct<anchor: long, least: long>>"), ("later", "array<struct<one: long, two: long>>"))])
+        .select(F.col(doc).alias("doc"), "text", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("anchors", "array<long>"), ("codes", "array<tinyint>"), ("ones", "array<long>"), ("twos", "array<long>"))])
     )
     return whole.mapInArrow(remove, DIGESTS if digests else WHOLE)
 
@@ -220,33 +223,30 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, d
 MOST_REPEATED = 100_000
 
 
-def _with_row_keys(rows: DataFrame) -> DataFrame:
-    """Adds ``row``: the doc where no other row has it, else a hash of doc and text, so that rows of one id are not gathered.
+def _with_row_keys(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``(row, text)`` and True where each doc has one row: it is the row's key.
 
-    Where ids are unique, as they should be, this is the doc itself, which keeps
-    what is sent small.
+    Else ``(row, doc, text)`` and False: rows of a repeated doc have a hash of doc
+    and text as their key, so that they are not gathered.
     """
     repeated = rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias("again"))
     n = repeated.limit(MOST_REPEATED + 1).count()
     if not n:
-        return rows.withColumn("row", F.col("doc"))
+        return rows.select(F.col("doc").alias("row"), "text"), True
     marked = rows.join(F.broadcast(repeated) if n <= MOST_REPEATED else repeated, F.col("doc") == F.col("again"), "left")
-    return marked.select("doc", "text", F.when(F.col("again").isNull(), F.col("doc")).otherwise(F.xxhash64("doc", "text")).alias("row"))
+    return marked.select(F.when(F.col("again").isNull(), F.col("doc")).otherwise(F.xxhash64("doc", "text")).alias("row"), "doc", "text"), False
 
 
 def _removed(part: pa.RecordBatch, window: int, gram: int, digests: bool) -> pa.RecordBatch:
     cells = Cells(raw_texts(part["text"]), window, gram)
-    code = _codes(cells, *_told(part["told"], part["doc"].to_numpy()))[cells.cell]
+    code = _codes(cells, _lists(part["anchors"]), _lists(part["codes"]))[cells.cell]
     gone = code == LATER
     some = np.flatnonzero((code == FIRST) | (code == MIXED))
     one, two = (h[some] for h in cells.window_hashes())
     again = ~_first_of_equal(cells.doc[some], one, two)
     ends = np.searchsorted(cells.doc[some], np.arange(part.num_rows + 1))
-    later, cut = part["later"].values, part["later"].offsets.to_numpy()
-    later_one, later_two = (later.field(k).to_numpy() for k in (0, 1))
-    for d, (low, high) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-        if high > low:
-            ones, twos = later_one[low:high], later_two[low:high]
+    for d, (ones, twos) in enumerate(zip(_lists(part["ones"]), _lists(part["twos"]), strict=True)):
+        if len(ones):
             a, b = ends[d], ends[d + 1]
             pairs = np.stack([np.r_[ones, one[a:b]], np.r_[twos, two[a:b]]], axis=1)
             _, same = np.unique(pairs, axis=0, return_inverse=True)
