@@ -79,7 +79,7 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
 
 
 def mean_pair_gap(df: DataFrame, groups: list[str], value: str, *, blocks: int = 256) -> DataFrame:
-    """``groups, pairs, gap``: the mean of \|x - y\| over all pairs of rows of a group, without making any pair.
+    """``groups, pairs, gap``: the mean difference over all pairs of rows of a group, without making any pair.
 
     In ascending order a value exceeds each of the ``n`` values before it, so it
     adds ``n * value - their sum``. Equal values are counted first; a group is
