@@ -19,8 +19,19 @@ SLICE_ROWS = 512
 NULL_ID = (1 << 63) - 1
 
 
+#: A table of up to this many bytes a core may be read by fewer tasks than there are cores, as row groups are not split.
+SMALL = 8 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small table to all cores before work on its texts begins; a larger one is left as its scan deals it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SMALL else df
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,3 +75,16 @@ def test_columns_and_empty_table(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns, name
     assert corpus_pipeline.run(spark, f"{tmp_path}/sf").count() == 0
+
+
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    rnd = random.Random(9)
+    texts = ["\n".join(prose(rnd, 20) for _ in range(6)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (3, texts[3]), (7, texts[4] + " " + "the of and " * 20_000), (8, None), (9, "")]
+    data = [(i, t, "en", f"s{k % 2}" if k else None, len(t or "")) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/sf/documents.parquet")
+    left = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:30]) for r in left) == sorted([(0, texts[0][:30]), (0, texts[1][:30]), (5, texts[2][:30]), (3, texts[3][:30]), (7, texts[4][:30]), (8, "")])
+    out = corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()
+    assert {r.doc_id for r in out} <= {None, 3, 5, 7}
