@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, map_slices, raw_texts
-from .pieces import SPECIAL, WordMemory, plain_pieces, special_parts
+from .pieces import SPECIAL, WordMemory, plain_pieces, rare_collections, special_parts
 
 END = "</w>"
 _BYTES = [bytes([b]) for b in range(256)]
-WORDS_KEPT, PIECES_KEPT, ARCS_KEPT, STATES_KEPT = 300_000, 200_000, 500_000, 150_000
+WORDS_KEPT, PIECES_KEPT, ARCS_KEPT, STATES_KEPT = 600_000, 400_000, 500_000, 150_000
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -154,7 +154,11 @@ class SymbolTable:
         return (done[same - 1], open_), tuple([ids[t] for t in done[:same]])
 
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece, given as its bytes."""
+        """Ids of one piece, given as its bytes.
+
+        The first transition that is not in the table yet is added, so words
+        that are met again lead one symbol further; the rest is read without it.
+        """
         if not piece:
             return []
         following, settled, at, out, end = self.next, self.settled, 0, [], len(piece) - 1
@@ -162,26 +166,55 @@ class SymbolTable:
             key = at << 9 | (i == end) << 8 | byte
             found = following.get(key)
             if found is None:
-                if len(self.states) >= self.most:
-                    return out + self._untabled(self.states[at], piece, i)
-                state, ids = self.transition(self.states[at], byte, i == end)
-                number = 0
-                if state is not None and (number := self.number.setdefault(state, len(self.states))) == len(self.states):
-                    self.states.append(state)
-                if ids:
-                    settled[key] = ids
-                found = following[key] = number << 1 | bool(ids)
+                if len(self.states) < self.most:
+                    self._add(key, byte, i == end)
+                return out + self._untabled(self.states[at], piece, i)
             if found & 1:
                 out += settled[key]
             at = found >> 1
         return out
 
+    def _add(self, key: int, byte: int, last: bool) -> None:
+        state, ids = self.transition(self.states[key >> 9], byte, last)
+        number = 0
+        if state is not None and (number := self.number.setdefault(state, len(self.states))) == len(self.states):
+            self.states.append(state)
+        if ids:
+            self.settled[key] = ids
+        self.next[key] = number << 1 | bool(ids)
+
     def _untabled(self, state: tuple, piece: bytes, start: int) -> list[int]:
+        """The same transitions without their states' names: tokens are chains ``(the ones before, token)``, settled all at the end."""
+        anchor, live = state[0], []
+        for path, read in state[1]:
+            chain = None
+            for token in path:
+                chain = (chain, token)
+            live.append((chain, read))
+        labels, begun, arcs, end, done = self.inner, self.begun, self.arcs, len(piece) - 1, None
+        for i in range(start, end + 1):
+            symbol = piece[i : i + 1]
+            if i == end:
+                labels = self.last
+            done, later = None, []
+            for part in live:
+                chain, read = part
+                label = read + symbol
+                if label in begun:
+                    later.append((chain, label))
+                if done is None and (token := labels.get(label)) is not None:
+                    before = chain[1] if chain else anchor
+                    if before < 0 or (found := arcs.get(before << 20 | token)) or (found is None and self._arc(before, token)):
+                        done = (chain, token)
+            if done is None:
+                raise ValueError(f"no path reads {piece!r}")
+            later.append((done, b""))
+            live = later
         out = []
-        for i in range(start, len(piece)):
-            state, ids = self.transition(state, piece[i], i == len(piece) - 1)
-            out += ids
-        return out
+        while done:
+            done, token = done
+            out.append(self.automaton.ids[token])
+        return out[::-1]
 
 
 class WordCoder:
@@ -244,6 +277,7 @@ _coders: dict[str, WordCoder] = {}
 def coder(path: str) -> WordCoder:
     """Compiled once for each Python worker; its size is that of the vocabulary."""
     if path not in _coders:
+        rare_collections()
         _coders[path] = WordCoder(path)
     return _coders[path]
 

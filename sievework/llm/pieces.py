@@ -8,6 +8,7 @@ module therefore work on words and remember what they found for each.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
@@ -52,3 +53,8 @@ class WordMemory(dict):
             self.clear()
         self[word] = value
         return value
+
+
+def rare_collections() -> None:
+    """The memories have no cycles, but Python would walk all of them again and again to look for some."""
+    gc.set_threshold(200_000, 50, 1000)

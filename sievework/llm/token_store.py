@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.storage import shared_folder
 from .common import NULL_ID, id_and_text, map_slices, raw_texts, slices
-from .pieces import plain_pieces
+from .pieces import plain_pieces, rare_collections
 from .perfect_hash import PerfectHash, keys_of, occurrences
 
 MAGIC = 0x5349455645544F4B
@@ -127,6 +127,7 @@ _encoders: dict[tuple[str, int], LibraryEncoder] = {}
 def encoder_for(path: str, width: int) -> LibraryEncoder:
     """One for each Python worker, so tasks that follow each other share what it remembers."""
     if (path, width) not in _encoders:
+        rare_collections()
         _encoders[path, width] = LibraryEncoder(path, width)
     return _encoders[path, width]
 
