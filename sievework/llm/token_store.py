@@ -117,8 +117,8 @@ class LibraryEncoder:
             self.old_pieces, self.pieces = self.pieces, {}
         split = [t.split() for t in raw]
         known = self.words
-        self._learn({w for words in split for w in words if w not in known})
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        self._learn(set().union(*split).difference(known))
+        return [b"".join(map(known.__getitem__, words)) + end for words in split]
 
 
 _encoders: dict[tuple[str, int], LibraryEncoder] = {}
