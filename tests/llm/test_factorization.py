@@ -55,8 +55,8 @@ def test_without_labels_and_with_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, label string")
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in score_quality(df, fit_quality(df, none)).collect()} == {0.5}
-    one = spark.createDataFrame([(2, 1), (2, 0)], "doc_id long, quality int")
-    repeated = df.union(spark.createDataFrame([(2, f"again {i}", "l") for i in range(500)], df.schema))
+    one = spark.createDataFrame([(7, 1), (7, 0)], "doc_id long, quality int")
+    repeated = df.union(spark.createDataFrame([(7, f"again {i}", "l") for i in range(500)], df.schema))
     seen = []
     fit = Machine.fit
     Machine.fit = classmethod(lambda cls, documents, labels, **k: seen.append((len(documents), list(labels))) or fit.__func__(cls, documents, labels, **k))
