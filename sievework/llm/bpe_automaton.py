@@ -38,7 +38,7 @@ from .pieces import SPECIAL, WordMemory, plain_pieces, rare_collections, special
 
 END = "</w>"
 _BYTES = [bytes([b]) for b in range(256)]
-WORDS_KEPT, PIECES_KEPT, ARCS_KEPT, STATES_KEPT = 300_000, 150_000, 300_000, 50_000
+WORDS_KEPT, PIECES_KEPT, ARCS_KEPT, STATES_KEPT = 150_000, 100_000, 200_000, 30_000
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
