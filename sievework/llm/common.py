@@ -28,10 +28,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a small table to all cores before work on its texts begins; a larger one is left as its scan deals it."""
+    """Deals a small table that has no more tasks than there are cores to all of them, before work on its texts begins; any other is left as its scan deals it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= cores * SMALL else df
+    plan = df._jdf.queryExecution()
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) <= cores * SMALL
+    return df.repartition(cores) if small and plan.toRdd().getNumPartitions() <= cores else df
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
