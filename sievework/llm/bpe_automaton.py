@@ -38,7 +38,8 @@ from .pieces import SPECIAL, WordMemory, plain_pieces, rare_collections, special
 
 END = "</w>"
 _BYTES = [bytes([b]) for b in range(256)]
-WORDS_KEPT, PIECES_KEPT, ARCS_KEPT, STATES_KEPT = 150_000, 100_000, 200_000, 30_000
+#: Words that a Python worker remembers (two generations of them); pieces, arcs and states of the table follow in fixed shares. Some 0.7 kB each in all.
+WORDS_KEPT = 600_000
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -99,9 +100,9 @@ class SymbolTable:
     are kept, transitions that are not in the table are worked out each time.
     """
 
-    def __init__(self, automaton: TokenAutomaton, most: int = STATES_KEPT):
+    def __init__(self, automaton: TokenAutomaton, most: int = WORDS_KEPT // 4, most_arcs: int = WORDS_KEPT * 5 // 6):
         code = {c: b for b, c in enumerate(byte_symbols())}
-        self.automaton, self.most = automaton, most
+        self.automaton, self.most, self.most_arcs = automaton, most, most_arcs
         self.inner: dict[bytes, int] = {}  # label of a token within a word, of one that ends it
         self.last: dict[bytes, int] = {}
         for name, token in automaton.at.items():
@@ -118,7 +119,7 @@ class SymbolTable:
         key = state << 20 | token
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) >= ARCS_KEPT:
+            if len(self.arcs) >= self.most_arcs:
                 self.arcs.clear()
             found = self.arcs[key] = self.automaton.arc(state, token)
         return found
@@ -220,7 +221,7 @@ class SymbolTable:
 class WordCoder:
     """Ids and labels of a word, as text ready to be joined."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words_kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -228,13 +229,13 @@ class WordCoder:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = TokenAutomaton(model["vocab"], merges)
         self.automaton.label |= {i: s for s, i in SPECIAL.items()}
-        self.table = SymbolTable(self.automaton)
+        self.table = SymbolTable(self.automaton, words_kept // 4, words_kept * 5 // 6)
         # Only for words beyond Latin-1: the library's own Unicode tables normalise and cut them.
         library = Tokenizer.from_file(path)
         self.normal, self.cut = library.normalizer, library.pre_tokenizer
         self.code = {c: b for b, c in enumerate(byte_symbols())}
-        self.pieces = WordMemory(self._piece, PIECES_KEPT)
-        self.words = WordMemory(self._word, WORDS_KEPT)
+        self.pieces = WordMemory(self._piece, words_kept * 2 // 3)
+        self.words = WordMemory(self._word, words_kept)
 
     def _piece(self, piece: bytes) -> tuple[bytes, bytes]:
         return self._coded(self.table.encode(piece))
@@ -271,28 +272,28 @@ class WordCoder:
         return ids.count(b" "), ids[1:], b"".join(labels)[1:]
 
 
-_coders: dict[str, WordCoder] = {}
+_coders: dict[tuple[str, int], WordCoder] = {}
 
 
-def coder(path: str) -> WordCoder:
-    """Compiled once for each Python worker; its size is that of the vocabulary."""
-    if path not in _coders:
+def coder(path: str, words_kept: int) -> WordCoder:
+    """Compiled once for each Python worker."""
+    if (path, words_kept) not in _coders:
         rare_collections()
-        _coders[path] = WordCoder(path)
-    return _coders[path]
+        _coders[path, words_kept] = WordCoder(path, words_kept)
+    return _coders[path, words_kept]
 
 
-def bpe_encode_decode(docs: DataFrame, vocabulary: str, *, digests: bool = False) -> DataFrame:
+def bpe_encode_decode(docs: DataFrame, vocabulary: str, *, digests: bool = False, words_kept: int = WORDS_KEPT) -> DataFrame:
     """Encodes each whole text and decodes its ids again.
 
     Null and empty texts have no tokens and decode to an empty text. Repeated
     rows come back repeated; other columns are left aside. ``ids`` are decimal
     and joined by one blank; with ``digests`` the two texts are replaced by
-    their SHA-256.
+    their SHA-256. ``words_kept`` bounds what a worker remembers, not the result.
     """
 
     def make():
-        words = coder(vocabulary)
+        words = coder(vocabulary, words_kept)
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, texts = zip(*map(words.text, raw_texts(part["text"])), strict=True) if part.num_rows else ((), (), ())
