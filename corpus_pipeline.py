@@ -45,8 +45,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document and what they decode to, as digests."""
-    return bpe_encode_decode(docs, vocabulary(), digests=True)
+    """Ids of each document and what they decode to, as digests; workers that served the stages before remember fewer words."""
+    return bpe_encode_decode(docs, vocabulary(), digests=True, words_kept=150_000)
 
 
 STAGES = [
