@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices with up to ``most`` bytes in one column, or of one row."""
+    for batch in batches:
+        before = np.append(0, np.cumsum(pc.binary_length(batch[name]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(before, before[at] + most, side="right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value, without decoding."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

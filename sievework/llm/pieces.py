@@ -12,6 +12,9 @@ import gc
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+
 SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
 _SPECIAL = re.compile("|".join(map(re.escape, SPECIAL)))
 # Latin-1 without controls and white space: NFC leaves such text as it is.
@@ -37,6 +40,55 @@ def special_parts(word: str) -> list[str]:
     return [p for p in [*parts, word[at:]] if p]
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kind (1 letters, 2 numbers, 3 others, 0 for all that needs ``plain_pieces`` or the library) and lower case: of bytes, and of the second of two."""
+    kind, low = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+    kind2, low2 = np.zeros(128, np.uint8), np.arange(128, dtype=np.uint8) & 63 | 128
+    for c in map(chr, range(0x21, 0x100)):
+        if c not in "'\xad" and _PLAIN.fullmatch(c):
+            x = c.lower()
+            what = 1 if re.fullmatch(f"[{_LETTER}]", x) else 2 if re.fullmatch(f"[{_NUMBER}]", x) else 3
+            if c.isascii():
+                kind[ord(c)], low[ord(c)] = what, ord(x)
+            else:
+                kind2[ord(c) - 0x80], low2[ord(c) - 0x80] = what, x.encode()[1]
+    return kind, low, kind2, low2
+
+
+_KIND, _LOW, _KIND2, _LOW2 = _tables()
+
+
+def cut_words(words: pa.Array) -> tuple[pa.Array, np.ndarray, set[bytes]]:
+    """The pieces of all words in a row, where each word's begin (and the end of the last's), and the words left whole.
+
+    Words of plain Latin-1 without apostrophes are cut here, as ``plain_pieces``
+    cuts them. Any other word is left as it is, for the caller to cut.
+    """
+    at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    kind, low = _KIND[data], _LOW[data]
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xC3))
+    after = data[np.minimum(lead + 1, len(data) - 1)]
+    lead, after = lead[after >> 6 == 2], after[after >> 6 == 2]
+    both = (data[lead] & 1) << 6 | after & 63
+    kind[lead] = kind[lead + 1] = _KIND2[both]
+    low[lead + 1] = _LOW2[both]
+    first = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == 2) & (data[1:] >> 6 != 2))[: len(data)]
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+    whole = np.unique(np.searchsorted(at, np.append(np.flatnonzero(kind == 0), special), side="right") - 1)
+    if len(whole):
+        inside = np.zeros(len(words), bool)
+        inside[whole] = True
+        inside = np.repeat(inside, np.diff(at))
+        first &= ~inside
+        low = np.where(inside, data, low)
+    first[at[:-1][at[:-1] < len(data)]] = True
+    starts = np.append(np.flatnonzero(first), len(data)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(low)])
+    return pieces, np.append(0, np.cumsum(first))[at], set(words.take(pa.array(whole)).cast(pa.binary()).to_pylist())
+
+
 class WordMemory(dict):
     """Remembers ``find(word)`` for words in two generations of ``most`` each, so memory is bounded and results are the same."""
 

@@ -27,29 +27,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import shared_folder
-from .common import NULL_ID, id_and_text, map_slices, raw_texts, slices
-from .pieces import plain_pieces, rare_collections
+from .common import NULL_ID, byte_slices, id_and_text, map_slices, slices
+from .pieces import cut_words, plain_pieces, rare_collections
 from .perfect_hash import PerfectHash, keys_of, occurrences
 
 MAGIC = 0x5349455645544F4B
 FOOTER = 6
 END_OF_WORD = "</w>"
-WORDS_KEPT, PIECES_KEPT = 400_000, 300_000
-_POINTS = (b".", b",", b";", b":", b"!", b"?")
+#: Pieces a worker remembers, in two generations of so many each; bytes of text that are encoded at once.
+PIECES_KEPT, BYTES_AT_ONCE = 300_000, 4 << 20
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, remembered word by word.
+    """Ids by the tokenizers library, remembered piece by piece.
 
-    White space separates words in this vocabulary and ids don't depend on
-    neighbours, so a text's ids are those of its words. Words not yet known are
-    cut into pieces, and the unknown pieces of many texts are encoded in one
-    call: each ends with the only token that carries an end of word.
+    White space separates words in this vocabulary, words are cut into pieces
+    and a piece's ids don't depend on its neighbours. So the distinct words of
+    many texts are cut together, distinct pieces get their ids once, and the
+    texts are put together by position. Pieces not yet known are encoded in
+    one call: each ends with the only token that carries an end of word.
     """
 
     def __init__(self, path: str, width: int):
@@ -61,64 +63,77 @@ class LibraryEncoder:
         self.final = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.final[i] = token.endswith(END_OF_WORD)
-        self.words, self.old_words = {}, {}
-        self.pieces, self.old_pieces = {}, {}
-
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
-
-    def _encode(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def _learn_pieces(self, pieces: list[bytes]) -> None:
-        if not pieces:
-            return
-        ids = np.asarray(self._encode(b" ".join(pieces).decode()), self.kind)
-        ends = np.flatnonzero(self.final[ids]) + 1
-        if len(ends) != len(pieces):
-            raise ValueError("a piece was cut")
-        raw, width, at = ids.tobytes(), self.kind.itemsize, 0
-        for piece, end in zip(pieces, (ends * width).tolist(), strict=True):
-            self.pieces[piece] = raw[at:end]
-            at = end
-
-    def _cut(self, word: bytes) -> list[bytes] | None:
-        """Pieces of a word; None where only the library can cut it. Letters with or without a point after them are most words."""
-        if word.isalpha():
-            return [word.lower()]
-        if word[-1:] in _POINTS and word[:-1].isalpha():
-            return [word[:-1].lower(), word[-1:]]
-        plain = None if b"<|" in word else plain_pieces(word.decode())
-        return None if plain is None else [p.encode() for p in plain]
-
-    def _learn(self, words: set[bytes]) -> None:
-        cut, new, pieces, old_words, old_pieces = {}, {}, self.pieces, self.old_words, self.old_pieces
-        for w in words:
-            if (known := old_words.get(w)) is not None:
-                self.words[w] = known
-            elif (parts := self._cut(w)) is None:
-                self.words[w] = self._bytes(self._encode(w.decode()))
+        self.known, self.older = {}, {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, new: list[bytes], odd: set[bytes]) -> None:
+        """``odd`` has the words that are no pieces yet; where only the library can cut one, it gets the whole word."""
+        known, older, plain, cut = self.known, self.older, {}, {}
+        for piece in new:
+            if (ids := older.get(piece)) is not None:
+                known[piece] = ids
+            elif piece not in odd:
+                plain[piece] = None
+            elif (parts := None if b"<|" in piece else plain_pieces(piece.decode())) is None:
+                known[piece] = self._encode(piece.decode()).tobytes()
             else:
-                cut[w] = parts
-                for p in parts:
-                    if p not in pieces:
-                        if (known := old_pieces.get(p)) is not None:
-                            pieces[p] = known
-                        else:
-                            new[p] = None
-        self._learn_pieces(list(new))
-        for w, parts in cut.items():
-            self.words[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+                cut[piece] = parts = [p.encode() for p in parts]
+                plain |= dict.fromkeys(p for p in parts if p not in known)
+        if plain:
+            ids = self._encode(b" ".join(plain).decode())
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(plain):
+                raise ValueError("a piece was cut")
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(plain, (ends * self.kind.itemsize).tolist(), strict=True):
+                known[piece] = raw[at:end]
+                at = end
+        for word, parts in cut.items():
+            known[word] = b"".join([known[p] for p in parts])
+
+    def _ids(self, pieces: list[bytes], odd: set[bytes]) -> list[bytes]:
+        if len(self.known) > PIECES_KEPT:
+            self.older, self.known = self.known, {}
+        found = list(map(self.known.get, pieces))
+        if new := [p for p, ids in zip(pieces, found, strict=True) if ids is None]:
+            self._learn(new, odd)
+            found = list(map(self.known.__getitem__, pieces))
+        return found
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word."""
+        pieces, first, odd = cut_words(words)
+        coded = pieces.dictionary_encode()
+        ids = pa.array(self._ids(coded.dictionary.to_pylist(), odd), pa.binary()).take(coded.indices)
+        return _joined(ids, first)
+
+    def encode(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The ids of each text and ``end`` as one binary value."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))  # with an empty word at a blank end
+        coded = split.flatten().dictionary_encode()
+        ids = pa.concat_arrays([self._words(coded.dictionary), pa.array([end], pa.binary())])
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        order = np.insert(coded.indices.to_numpy(), ends, len(ids) - 1)
+        return _joined(ids.take(pa.array(order)), np.append(0, ends + np.arange(1, len(ends) + 1)))
 
     def texts(self, raw: list[bytes], end: bytes) -> list[bytes]:
-        if len(self.words) > WORDS_KEPT:
-            self.old_words, self.words = self.words, {}
-        if len(self.pieces) > PIECES_KEPT:
-            self.old_pieces, self.pieces = self.pieces, {}
-        split = [t.split() for t in raw]
-        known = self.words
-        self._learn(set().union(*split).difference(known))
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        return self.encode(pa.array(raw, pa.binary()), end).to_pylist()
+
+
+def _joined(values: pa.Array, first: np.ndarray) -> pa.Array:
+    """One binary value of each run of values; ``first`` has where each run begins, and the end of the last."""
+    return _binary(_offsets(values)[first], values.buffers()[2])
+
+
+def _binary(offsets: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(b"") if data is None else data])
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    at = values.buffers()[1]
+    return np.frombuffer(at, np.int32, len(values) + 1, 4 * values.offset) if at and at.size else np.zeros(len(values) + 1, np.int32)
 
 
 _encoders: dict[tuple[str, int], LibraryEncoder] = {}
@@ -278,18 +293,15 @@ def write_token_store(
     bounds = sorted(set(keyed.agg(F.percentile_approx(key, cuts, 100 * shards)).first()[0] or [])) if cuts else []
     at = np.asarray(bounds, np.int64)
 
-    def encode():
+    def encode(batches):
         encoder = encoder_for(vocabulary, width)
         if len(encoder.final) > 1 << 8 * width or end_id >> 8 * width:
             raise ValueError(f"ids don't fit into {width} bytes")
         end = np.array([end_id], encoder.kind).tobytes()
-
-        def step(part: pa.RecordBatch) -> pa.RecordBatch:
+        for part in byte_slices(batches, "text", BYTES_AT_ONCE):
             ids = _filled(part["doc_id"])
             shard = np.searchsorted(at, ids, side="right").astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids), pa.array(encoder.texts(raw_texts(part["text"]), end), pa.binary())], names=["shard", "doc_id", "ids"])
-
-        return step
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids), encoder.encode(part["text"], end)], names=["shard", "doc_id", "ids"])
 
     def write(batches):
         writer, done = None, []
@@ -306,7 +318,7 @@ def write_token_store(
             done.append(writer.close())
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("path", pa.string())]))
 
-    encoded = map_slices(keyed, encode, "shard int, doc_id long, ids binary")
+    encoded = keyed.mapInArrow(encode, "shard int, doc_id long, ids binary")
     dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
     written = {r.shard: r for r in dealt.mapInArrow(write, "shard int, n_docs long, n_tokens long, path string").collect()}
     starts, paths, before = [], [], 0

@@ -1,8 +1,12 @@
 import random
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from sievework.llm import token_store
+from sievework.llm.common import byte_slices
 from sievework.llm.perfect_hash import PerfectHash, keys_of, occurrences
 from sievework.llm.token_store import LibraryEncoder, open_token_store, write_token_store
 
@@ -29,6 +33,51 @@ def test_encoder_equals_library():
         assert np.frombuffer(ids, "<u4").tolist() == encoder.library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_on_random_texts(monkeypatch):
+    """Every plain Latin-1 character beside letters, numbers and marks, and random texts, with a memory that is always full."""
+    monkeypatch.setattr(token_store, "PIECES_KEPT", 40)
+    rnd = random.Random(4)
+    parts = [*map(chr, range(0x20, 0x180)), *"\t\n\x0b\x0c\r\x1c\x85\u0301\u3000İςΣ日😀ﬁ", "<|", "|>", "<", "|", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'LL", "ÀÉ", "word", "Word's", "12", " ", "  ", "\n\n"]
+    texts = [a + b + c for b in map(chr, range(0x21, 0x100)) for a, c in (("a", "É"), ("1", "²"), ("!", "×"), ("é ", " ß"), ("<", "|"))]
+    texts += ["".join(rnd.choices(parts, k=rnd.randrange(40))) for _ in range(3000)]
+    for width in (2, 4):
+        encoder = LibraryEncoder(PATH, width)
+        for at in range(0, len(texts), 90):
+            some = texts[at : at + 90]
+            got = encoder.encode(pa.array(["x", None, *some])[1:], b"\2\0\0\0"[:width])
+            for t, ids in zip([None, *some], got.to_pylist(), strict=True):
+                assert np.frombuffer(ids, f"<u{width}").tolist() == [*encoder.library.encode(t or "", add_special_tokens=False).ids, 2], t
+
+
+def test_encoder_work_grows_with_pieces_not_words():
+    """20,000 distinct words of 100 distinct pieces: Python is called a few times for each piece, not for each word."""
+    stems = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(100, 190)]
+    words = [f"{a.title() if k % 2 else a}.{b}{'!' * (1 + k % 3)}" for k, (a, b) in enumerate((a, b) for a in stems for b in stems)]
+    words += [w.upper() for w in words] + [f"{w}?" for w in words[:4000]]
+    assert len(set(words)) > 20_000
+    encoder, calls = LibraryEncoder(PATH, 2), 0
+    raw = [" ".join(words).encode()]
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = encoder.texts(raw, b"")
+    finally:
+        sys.setprofile(None)
+    assert np.frombuffer(got[0], "<u2").tolist() == encoder.library.encode(raw[0].decode(), add_special_tokens=False).ids
+    assert calls < 2000
+
+
+def test_byte_slices():
+    texts = ["", "aaaa", None, "bb", "c" * 50, "", "dd", "é"]
+    batches = pa.table({"text": texts}).to_batches(max_chunksize=6)
+    parts = [p["text"].to_pylist() for p in byte_slices(iter(batches), "text", 6)]
+    assert parts == [["", "aaaa", None, "bb"], ["c" * 50], [""], ["dd", "é"]]
+
+
 def test_store(spark, tmp_path):
     rows = [(i * 3 - 50, TEXTS[i % len(TEXTS)]) for i in range(60)] + [(None, "a"), (7, None), (10**18, "end"), (10, "twice"), (10, "twice"), (10, "thrice")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
