@@ -19,7 +19,7 @@ from sievework.llm.mixing import mix_sources
 from sievework.llm.near_copies import near_copy_components
 from sievework.llm.queries import vocabulary
 from sievework.llm.simhash import keep_representatives
-from sievework.operators.storage import remove_folder, shared_folder
+from sievework.operators.storage import remove_folder, shared_folder, shuffles_removed
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{folder}/{k}-{name}")
+        with shuffles_removed(spark):
+            out.write.parquet(f"{folder}/{k}-{name}")
         if read:
             remove_folder(spark, read)
         read = f"{folder}/{k}-{name}"

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+REMOVAL = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -34,12 +37,27 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     system.delete(path, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are built and run inside remove their shuffle files as they end; these else stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(REMOVAL, None)
+    spark.conf.set(REMOVAL, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(REMOVAL)
+        else:
+            spark.conf.set(REMOVAL, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder; ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes it with its last use."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint()  # the setting is read where a query is built
 
 
 def _path(spark: SparkSession, folder: str):

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import zipfile
 
 import pandas as pd
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from sievework.functions import pixels, repair
 from sievework.functions import text as X
-from sievework.operators import dedup, graph, joins, ledger, select, splits, windows
+from sievework.operators import dedup, graph, joins, ledger, select, splits, storage, windows
 from sievework.sources import files
 from sievework.streaming import monitor
 
@@ -264,3 +265,30 @@ def test_streaks_and_sessions(spark):
     assert [r.session for r in windows.sessions(df, ["log"], ["i"], "v").orderBy("i").collect()] == [0, 0, 0, 1, 1, 1, 1]
     best = windows.running_best(df, ["log"], ["i"], "v").orderBy("i").collect()
     assert [r.record for r in best] == [True] + [False] * 6
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {x for x in found.split("\n") if "shuffle_" in x}
+
+
+def test_checkpoints_and_rounds_leave_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(storage.REMOVAL, None)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    found = graph.connected_components(edges, storage.checkpointed)
+    for _ in range(50):  # executors remove them a moment later
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(storage.REMOVAL, None) == setting
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(61)}
+
+
+def test_query_runs_again_without_its_shuffle_files(spark):
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    with storage.shuffles_removed(spark):
+        doubled = sums.join(sums.withColumnRenamed("n", "m"), "k").select("k", (F.col("n") + F.col("m")).alias("n"))
+        once = storage.checkpointed(doubled).collect()
+        first, again = doubled.collect(), doubled.collect()
+    assert sorted(once) == sorted(first) == sorted(again) and sum(r.n for r in once) == 999_000
